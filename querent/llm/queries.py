@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, chat, pii, sharding
+from querent.llm import bpe, chat, langid, pii, sharding, simhash
 from querent.llm.common import read
 
 
@@ -21,6 +21,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(read(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ids="ids", decoded="decoded", packed=True)
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -31,7 +39,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op6_chat, op9_bpe, op10_pii)}
+    return {f.__name__: f for f in (op4_sharding, op6_chat, op7_langid, op8_simhash, op9_bpe, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
