@@ -7,14 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, chat, langid, pii, sharding, simhash
+from querent.llm import bpe, chat, decontam, langid, pii, quality, sharding, simhash
 from querent.llm.common import read
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return made.select("doc_id", "quality_score", "toxic_score", "keep")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -39,7 +48,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op6_chat, op7_langid, op8_simhash, op9_bpe, op10_pii)}
+    return {f.__name__: f for f in (op3_quality, op4_sharding, op5_decontam, op6_chat, op7_langid, op8_simhash, op9_bpe, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
