@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, chat, decontam, langid, media, pii, quality, sharding, simhash
+from querent.llm import bpe, chat, decontam, langid, media, pii, quality, sharding, simhash, suffix_dedup
 from querent.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copies(media.render_table(read(spark, sf_dir, "embeddings")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return made.select("doc_id", "quality_score", "toxic_score", "keep")
@@ -53,7 +57,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_quality, op4_sharding, op5_decontam, op6_chat, op7_langid, op8_simhash, op9_bpe, op10_pii)}
+    return {f.__name__: f for f in (op1_media, op2_suffix_dedup, op3_quality, op4_sharding, op5_decontam, op6_chat, op7_langid, op8_simhash, op9_bpe, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
