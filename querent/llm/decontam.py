@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm.common import ship, small_batches
+from querent.llm.names import Lookup, words
 
 BLOCK, RANK, EXTRA = 16, 256, 8
 SIZES = (2, 4, 8)
@@ -40,22 +41,20 @@ COSINE = 0.5
 WHOLE, PARTLY, ANSWER = 0.75, 0.5, 0.8
 LEAST = 6
 
-_BLANK = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+def words_of(text: str | None) -> list[int]:
+    """Names of a text's words: lower-cased, parted by ASCII characters other than letters and digits."""
+    return next((n.tolist() for _, n, _ in words([text])), [])
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(_BLANK).split()
-
-
-def answer_of(text: str) -> list[bytes]:
+def answer_of(text: str) -> list[int]:
     """The item's last sentence of at least three words; all of it if there is none."""
     parts = [words_of(p) for p in re.split(r"(?<=[.?!:])\s+|\n", text)]
     return next((p for p in reversed(parts) if len(p) >= 3), words_of(text))
 
 
-def lcs(a: list[bytes], b: list[bytes]) -> int:
+def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
-    at: dict[bytes, int] = {}
+    at: dict[int, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -73,34 +72,28 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, self.answers = [], [], []
         for item, text in rows:
-            words, answer = words_of(text), answer_of(text or "")
-            if len(words) < LEAST:
+            own, answer = words_of(text), answer_of(text or "")
+            if len(own) < LEAST:
                 continue
-            for k in range(0, max(1, len(words) - 96), 96):
-                piece = words[k : k + 112]
+            for k in range(0, max(1, len(own) - 96), 96):
+                piece = own[k : k + 112]
                 self.ids.append(item)
                 self.words.append(piece)
-                self.answers.append(answer if len(words) <= 112 else piece[-8:])
+                self.answers.append(answer if len(own) <= 112 else piece[-8:])
         self.size = [next((s for s in SIZES if (s - 1) * BLOCK >= len(w)), SIZES[-1]) for w in self.words]
 
 
-def tokens(words: list[bytes], get) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of those words that have one, and their places."""
-    ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-    at = np.flatnonzero(ids >= 0)
-    return ids[at], at
-
-
-def passages(batches, get, limit: int = 400_000):
+def passages(batches, lookup: Lookup, limit: int = 200_000):
     """Ids and passage numbers of many texts at a time, and the number of passages."""
     ids, blocks, n, held = [], [], 0, 0
     for b in batches:
-        for t in b.column(0).to_pylist():
-            words = words_of(t)
-            own, at = tokens(words, get)
+        for _, names, bounds in words(b.column(0).to_pylist()):
+            own, at = lookup.find(names)
+            count = -(-np.diff(bounds) // (4 * BLOCK))
+            text = np.searchsorted(bounds, at, "right") - 1
             ids.append(own)
-            blocks.append(n + at // (4 * BLOCK))
-            n += -(-len(words) // (4 * BLOCK))
+            blocks.append(n + (np.cumsum(count) - count)[text] + (at - bounds[text]) // (4 * BLOCK))
+            n += int(count.sum())
             held += len(own)
             if held > limit:
                 yield np.concatenate(ids), np.concatenate(blocks), n
@@ -108,7 +101,20 @@ def passages(batches, get, limit: int = 400_000):
     yield np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *blocks]), n
 
 
-def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def fold(vectors: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of token ranges [a, b): first tokens of all, second tokens, and so on."""
+    order = np.argsort(a - b, kind="stable")
+    begin, counts = a[order], (b - a)[order]
+    total = np.zeros((len(a), vectors.shape[1]), np.float32)
+    for k in range(int(counts[0]) if len(counts) else 0):
+        m = np.searchsorted(-counts, -k)
+        total[:m] += vectors[ids[begin[:m] + k]]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return total[back]
+
+
+def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many passages each word occurs, and the number of passages, over the whole corpus."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of the benchmark's size
 
@@ -116,8 +122,10 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarr
         known = sent.value
         v, n = len(known), 0
         df = np.zeros(v, np.int64)
-        for ids, blk, more in passages(batches, known.get):
-            df += np.bincount(np.unique(blk * v + ids) % v, minlength=v)
+        for ids, blk, more in passages(batches, Lookup(known), 60_000):
+            seen = np.zeros((more, v), bool)
+            seen[blk, ids] = True
+            df += seen.sum(0)
             n += more
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([n, *df[used].tolist()], pa.int64())], ["term", "n"])
@@ -126,7 +134,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarr
     return np.array([counts.get(i, 0) for i in range(len(vocabulary))]), counts.get(-1, 0)
 
 
-def sketch(docs: DataFrame, vocabulary: dict[bytes, int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+def sketch(docs: DataFrame, vocabulary: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Omega and Z over the whole corpus. Each partition sends a row a word; rows of a word add up."""
     spark = docs.sparkSession
     width = RANK + EXTRA
@@ -137,15 +145,19 @@ def sketch(docs: DataFrame, vocabulary: dict[bytes, int], seed: int) -> tuple[np
 
     def run(batches):
         known = sent.value
-        om, v = gaussian(), len(known)
-        z = np.zeros((width, v))
-        for ids, blk, _ in passages(batches, known.get):
+        om = np.ascontiguousarray(gaussian().T, np.float32)
+        z = np.zeros(om.shape)
+        for ids, blk, _ in passages(batches, Lookup(known)):
             if len(ids):
-                for j, row in enumerate(om):
-                    b = np.bincount(blk, weights=row[ids])
-                    z[j] += np.bincount(ids, weights=b[blk], minlength=v)
-        used = np.flatnonzero(z.any(0))
-        flat = np.ascontiguousarray(z.T[used].astype(np.float32))
+                edges = np.flatnonzero(np.r_[True, blk[1:] != blk[:-1], True])
+                sums = fold(om, ids, edges[:-1], edges[1:])  # T Omega: a row a passage
+                row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+                order = np.argsort(ids, kind="stable")
+                word = ids[order]
+                edges = np.flatnonzero(np.r_[True, word[1:] != word[:-1], True])
+                z[word[edges[:-1]]] += fold(sums, row[order], edges[:-1], edges[1:])
+        used = np.flatnonzero(z.any(1))
+        flat = z[used].astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r.tobytes() for r in flat], pa.binary())], ["term", "z"])
 
     def add(batches):
@@ -188,64 +200,53 @@ def windows(ids: np.ndarray, block: np.ndarray, size: int, n: int) -> tuple[np.n
     return a[first], b[first], np.maximum(first + 1 - size, 0), last + 1
 
 
-def search(docs: DataFrame, items: Items, vocabulary: dict[bytes, int], vectors: np.ndarray) -> DataFrame:
+def search(docs: DataFrame, items: Items, vocabulary: np.ndarray, vectors: np.ndarray) -> DataFrame:
     """``doc_id, item_id, cosine, lcs_share, answer_share``: the best confirmed window of each pair."""
-    sums = np.stack([vectors[[vocabulary[w] for w in words if w in vocabulary]].sum(0) if any(w in vocabulary for w in words) else np.zeros(vectors.shape[1]) for words in items.words])
+    lookup = Lookup(vocabulary)
+    sums = np.stack([vectors[lookup.find(np.array(own, np.uint64))[0]].sum(0) for own in items.words])
     sums = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((items, vocabulary, vectors, sums))  # of the benchmark's size
+    sent = docs.sparkSession.sparkContext.broadcast((items, lookup, vectors, sums))  # of the benchmark's size
 
     def run(batches):
-        items, vocabulary, vectors, sums = sent.value
+        items, lookup, vectors, sums = sent.value
         of = {s: own for s in SIZES if len(own := np.array([k for k, x in enumerate(items.size) if x == s]))}
 
-        def confirmed(held: list[tuple]):
-            """held: (row, words, ids, places) of some texts. Blocks of different texts lie apart."""
-            gap, starts, n = SIZES[-1], [], 0
-            for _, words, _, _ in held:
-                starts.append(n)
-                n += -(-len(words) // BLOCK) + gap
-            ids = np.concatenate([h[2] for h in held])
-            block = np.concatenate([s + h[3] // BLOCK for s, h in zip(starts, held, strict=True)])
+        def confirmed(names: np.ndarray, bounds: np.ndarray):
+            """Confirmed windows of some texts. Blocks of different texts lie apart."""
+            ids, at = lookup.find(names)
+            count = -(-np.diff(bounds) // BLOCK) + SIZES[-1]
+            starts, n = np.cumsum(count) - count, int(count.sum())
+            text = np.searchsorted(bounds, at, "right") - 1
+            block = starts[text] + (at - bounds[text]) // BLOCK
             for size, own in of.items():
                 a, b, low, high = windows(ids, block, size, n)
                 for part in range(0, len(a), 20_000):
-                    pa_, pb = a[part : part + 20_000], b[part : part + 20_000]
-                    counts = pb - pa_
-                    offsets = np.cumsum(counts) - counts
-                    picked = np.repeat(pa_ - offsets, counts) + np.arange(counts.sum())
-                    window = np.add.reduceat(vectors[ids[picked]], offsets, axis=0)
-                    norm = np.linalg.norm(window, axis=1, keepdims=True)
-                    cos = (window / np.maximum(norm, 1e-6)) @ sums[own].T
-                    cos[norm[:, 0] < 1e-6] = 0
-                    for r, c in zip(*map(np.ndarray.tolist, np.nonzero(cos >= COSINE)), strict=True):
-                        k = int(own[c])
-                        d = np.searchsorted(starts, block[pa_[r]], "right") - 1
-                        lo, hi = max(0, int(low[part + r]) - starts[d]), int(high[part + r]) - starts[d]
-                        words = held[d][1][lo * BLOCK : hi * BLOCK]
-                        share = lcs(items.words[k], words) / len(items.words[k])
+                    s = slice(part, part + 20_000)
+                    window = fold(vectors, ids, a[s], b[s])
+                    norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+                    cos = window @ sums[own].T
+                    rows, cols = np.nonzero(cos >= np.maximum(COSINE * norm, 1e-6)[:, None])
+                    for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
+                        k, j = int(own[c]), int(text[a[part + r]])
+                        lo, hi = max(0, int(low[part + r] - starts[j])), int(high[part + r] - starts[j])
+                        found = names[bounds[j] + lo * BLOCK : min(bounds[j] + hi * BLOCK, bounds[j + 1])].tolist()
+                        if sum(map(set(found).__contains__, items.words[k])) < PARTLY * len(items.words[k]):
+                            continue  # no subsequence can be longer
+                        share = lcs(items.words[k], found) / len(items.words[k])
                         if share >= PARTLY:
-                            answer = lcs(items.answers[k], words) / len(items.answers[k])
+                            answer = lcs(items.answers[k], found) / len(items.answers[k])
                             if share >= WHOLE or answer >= ANSWER:
-                                yield held[d][0], items.ids[k], share, answer, float(cos[r, c])
+                                yield j, items.ids[k], share, answer, float(cos[r, c] / norm[r])
 
         for b in batches:
             best: dict[tuple, tuple] = {}
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            held, size = [], 0
-            for i in range(len(texts) + 1):
-                if held and (i == len(texts) or size > 300_000):
-                    for row, item, *found in confirmed(held):
-                        best[row, item] = max(best.get((row, item), ()), tuple(found))
-                    held, size = [], 0
-                if i < len(texts):
-                    words = words_of(texts[i])
-                    ids, at = tokens(words, vocabulary.get)
-                    size += len(words)
-                    if len(ids) >= SHARED:
-                        held.append((i, words, ids, at))
+            ids = b.column("doc_id").to_pylist()
+            for first, names, bounds in words(b.column("text").to_pylist()):
+                for j, item, *found in confirmed(names, bounds):
+                    best[first + j, item] = max(best.get((first + j, item), ()), tuple(found))
             keys = sorted(best)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[j] for j, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), *[pa.array([best[k][x] for k in keys], pa.float64()) for x in (2, 0, 1)]],
+                [pa.array([ids[j] for j, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), *[pa.array([best[k][x] for k in keys], pa.float64()) for x in (2, 0, 1)]],
                 ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"],
             )
 
@@ -266,12 +267,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, seed: int = 5) -> DataFrame:
     items = Items([(r.item_id, r.text) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()])
     if not items.words:
         return spark.createDataFrame([], MATCH)
-    words = sorted({w for piece in items.words for w in piece})
-    df, n = frequencies(docs, {w: i for i, w in enumerate(words)})
-    count = dict(zip(words, df.tolist(), strict=True))
-    kept = {w for w in words if count[w] <= COMMON * n}
+    every = sorted({w for piece in items.words for w in piece})
+    df, n = frequencies(docs, np.array(every, np.uint64))
+    count = dict(zip(every, df.tolist(), strict=True))
+    kept = {w for w in every if count[w] <= COMMON * n}
     for piece in items.words:
         kept |= set(sorted(set(piece), key=lambda w: (count[w], w))[:OWN])
-    vocabulary = {w: i for i, w in enumerate(sorted(kept))}
+    vocabulary = np.array(sorted(kept), np.uint64)
     omega, z = sketch(docs, vocabulary, seed)
-    return search(docs, items, vocabulary, space(np.array([count[w] for w in vocabulary]), z, n, omega))
+    return search(docs, items, vocabulary, space(np.array([count[w] for w in sorted(kept)]), z, n, omega))
