@@ -34,14 +34,18 @@ def ship(spark: SparkSession) -> None:
     sc._querent_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); one of this machine only where none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="querent-ckpt-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint into the cluster's shared folder (spark.checkpoint.dir), so that losing an
     executor never recomputes, or changes, what later jobs read."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="querent-ckpt-")
-        sc.setCheckpointDir(shared)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -200,64 +200,54 @@ def windows(ids: np.ndarray, block: np.ndarray, size: int, n: int) -> tuple[np.n
     return a[first], b[first], np.maximum(first + 1 - size, 0), last + 1
 
 
-def search(docs: DataFrame, items: Items, vocabulary: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    """``doc_id, item_id, cosine, lcs_share, answer_share``: the best confirmed window of each pair."""
-    lookup = Lookup(vocabulary)
+def finder(items: Items, lookup: Lookup, vectors: np.ndarray):
+    """A function from texts to ``{(text's index, item_id): (lcs share, answer share, cosine)}``."""
     sums = np.stack([vectors[lookup.find(np.array(own, np.uint64))[0]].sum(0) for own in items.words])
     sums = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((items, lookup, vectors, sums))  # of the benchmark's size
-
-    def run(batches):
-        items, lookup, vectors, sums = sent.value
-        of = {s: own for s in SIZES if len(own := np.array([k for k, x in enumerate(items.size) if x == s]))}
-
-        def confirmed(names: np.ndarray, bounds: np.ndarray):
-            """Confirmed windows of some texts. Blocks of different texts lie apart."""
-            ids, at = lookup.find(names)
-            count = -(-np.diff(bounds) // BLOCK) + SIZES[-1]
-            starts, n = np.cumsum(count) - count, int(count.sum())
-            text = np.searchsorted(bounds, at, "right") - 1
-            block = starts[text] + (at - bounds[text]) // BLOCK
-            for size, own in of.items():
-                a, b, low, high = windows(ids, block, size, n)
-                for part in range(0, len(a), 20_000):
-                    s = slice(part, part + 20_000)
-                    window = fold(vectors, ids, a[s], b[s])
-                    norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-                    cos = window @ sums[own].T
-                    rows, cols = np.nonzero(cos >= np.maximum(COSINE * norm, 1e-6)[:, None])
-                    for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
-                        k, j = int(own[c]), int(text[a[part + r]])
-                        lo, hi = max(0, int(low[part + r] - starts[j])), int(high[part + r] - starts[j])
-                        found = names[bounds[j] + lo * BLOCK : min(bounds[j] + hi * BLOCK, bounds[j + 1])].tolist()
-                        if sum(map(set(found).__contains__, items.words[k])) < PARTLY * len(items.words[k]):
-                            continue  # no subsequence can be longer
-                        share = lcs(items.words[k], found) / len(items.words[k])
-                        if share >= PARTLY:
-                            answer = lcs(items.answers[k], found) / len(items.answers[k])
-                            if share >= WHOLE or answer >= ANSWER:
-                                yield j, items.ids[k], share, answer, float(cos[r, c] / norm[r])
-
-        for b in batches:
-            best: dict[tuple, tuple] = {}
-            ids = b.column("doc_id").to_pylist()
-            for first, names, bounds in words(b.column("text").to_pylist()):
-                for j, item, *found in confirmed(names, bounds):
-                    best[first + j, item] = max(best.get((first + j, item), ()), tuple(found))
-            keys = sorted(best)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[j] for j, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), *[pa.array([best[k][x] for k in keys], pa.float64()) for x in (2, 0, 1)]],
-                ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, MATCH)
+    of = {s: own for s in SIZES if len(own := np.array([k for k, x in enumerate(items.size) if x == s]))}
+
+    def confirmed(names: np.ndarray, bounds: np.ndarray):
+        """Confirmed windows of some texts. Blocks of different texts lie apart."""
+        ids, at = lookup.find(names)
+        count = -(-np.diff(bounds) // BLOCK) + SIZES[-1]
+        starts, n = np.cumsum(count) - count, int(count.sum())
+        text = np.searchsorted(bounds, at, "right") - 1
+        block = starts[text] + (at - bounds[text]) // BLOCK
+        for size, own in of.items():
+            a, b, low, high = windows(ids, block, size, n)
+            for part in range(0, len(a), 20_000):
+                s = slice(part, part + 20_000)
+                window = fold(vectors, ids, a[s], b[s])
+                norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+                cos = window @ sums[own].T
+                rows, cols = np.nonzero(cos >= np.maximum(COSINE * norm, 1e-6)[:, None])
+                for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
+                    k, j = int(own[c]), int(text[a[part + r]])
+                    lo, hi = max(0, int(low[part + r] - starts[j])), int(high[part + r] - starts[j])
+                    found = names[bounds[j] + lo * BLOCK : min(bounds[j] + hi * BLOCK, bounds[j + 1])].tolist()
+                    if sum(map(set(found).__contains__, items.words[k])) < PARTLY * len(items.words[k]):
+                        continue  # no subsequence can be longer
+                    share = lcs(items.words[k], found) / len(items.words[k])
+                    if share >= PARTLY:
+                        answer = lcs(items.answers[k], found) / len(items.answers[k])
+                        if share >= WHOLE or answer >= ANSWER:
+                            yield j, items.ids[k], share, answer, float(cos[r, c] / norm[r])
+
+    def find(texts: list[str | None]) -> dict[tuple[int, int], tuple]:
+        best: dict[tuple[int, int], tuple] = {}
+        for first, names, bounds in words(texts):
+            for j, item, *found in confirmed(names, bounds):
+                best[first + j, item] = max(best.get((first + j, item), ()), tuple(found))
+        return best
+
+    return find
 
 
 MATCH = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, seed: int = 5) -> DataFrame:
-    """Contaminated documents with the benchmark items they hold.
+def model(docs: DataFrame, benchmark: DataFrame, seed: int = 5) -> tuple[Items, Lookup, np.ndarray] | None:
+    """The benchmark's items and the latent space of the whole corpus; None without items.
 
     The benchmark is read on the driver: it is an evaluation set, small by its nature and apart
     from the corpus's growth."""
@@ -266,7 +256,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, seed: int = 5) -> DataFrame:
     small_batches(spark)
     items = Items([(r.item_id, r.text) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()])
     if not items.words:
-        return spark.createDataFrame([], MATCH)
+        return None
     every = sorted({w for piece in items.words for w in piece})
     df, n = frequencies(docs, np.array(every, np.uint64))
     count = dict(zip(every, df.tolist(), strict=True))
@@ -275,4 +265,41 @@ def matches(docs: DataFrame, benchmark: DataFrame, seed: int = 5) -> DataFrame:
         kept |= set(sorted(set(piece), key=lambda w: (count[w], w))[:OWN])
     vocabulary = np.array(sorted(kept), np.uint64)
     omega, z = sketch(docs, vocabulary, seed)
-    return search(docs, items, vocabulary, space(np.array([count[w] for w in sorted(kept)]), z, n, omega))
+    return items, Lookup(vocabulary), space(np.array([count[w] for w in sorted(kept)]), z, n, omega)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id, cosine, lcs_share, answer_share``: contaminated documents with the items
+    that they hold, the best confirmed window of each pair."""
+    made = model(docs, benchmark)
+    if made is None:
+        return docs.sparkSession.createDataFrame([], MATCH)
+    sent = docs.sparkSession.sparkContext.broadcast(made)  # of the benchmark's size
+
+    def run(batches):
+        find = finder(*sent.value)
+        for b in batches:
+            ids, best = b.column("doc_id").to_pylist(), find(b.column("text").to_pylist())
+            keys = sorted(best)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[j] for j, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), *[pa.array([best[k][x] for k in keys], pa.float64()) for x in (2, 0, 1)]],
+                ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, MATCH)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
+    made = model(docs, benchmark)
+    if made is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(made)  # of the benchmark's size
+
+    def run(batches):
+        find = finder(*sent.value)
+        for b in batches:
+            dirty = {j for j, _ in find(b.column("text").to_pylist())}
+            yield b.filter(pa.array([i not in dirty for i in range(b.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

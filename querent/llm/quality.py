@@ -209,6 +209,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Head, Head]:
     return heads[0], heads[1]
 
 
+def judged(heads: tuple[Head, Head], texts: list, sources: list, langs: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
+    """Quality and toxicity of some documents."""
+    good, toxic = heads
+    words = {f for h in heads if not h.constant for f in h.views["A"].names}
+    rows = []
+    for t, s, la, n in zip(texts, sources, langs, sizes, strict=True):
+        dense, own = content(t)
+        rows.append((dense, own & words, metadata(s, la, n)))
+    return good.score(rows, 0.5), toxic.score(rows, 0.0)
+
+
 def score(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
     """Append ``quality_score``, ``toxic_score`` and ``keep``; columns of these names are replaced."""
     spark = docs.sparkSession
@@ -218,18 +229,27 @@ def score(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
     docs = docs.drop("quality_score", "toxic_score", "keep")
 
     def run(batches):
-        good, toxic = sent.value
-        words = {f for h in (good, toxic) if not h.constant for f in h.views["A"].names}
         for b in batches:
-            rows = []
-            for t, s, la, n in zip(*[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")], strict=True):
-                dense, own = content(t)
-                rows.append((dense, own & words, metadata(s, la, n)))
-            q, x = good.score(rows, 0.5), toxic.score(rows, 0.0)
+            q, x = judged(sent.value, *[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(q), pa.array(x), pa.array((q >= 0.5) & (x < 0.5))], [*b.schema.names, "quality_score", "toxic_score", "keep"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType()), StructField("toxic_score", DoubleType()), StructField("keep", BooleanType())]))
 
 
+def keep(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, all columns as they are."""
+    spark = docs.sparkSession
+    ship(spark)
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(heads)  # some hundred weights
+
+    def run(batches):
+        for b in batches:
+            q, x = judged(sent.value, *[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")])
+            yield b.filter(pa.array((q >= 0.5) & (x < 0.5)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, learn(docs, labels))

@@ -20,13 +20,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.llm.common import cut, ship, small_batches
 from querent.llm.components import components
 
 SEED, BITS, TILE = 42, 64, 4096
+#: Least hashes of a signature, and how many of them make a band.
+SLOTS, ROWS = 128, 6
+_ODD = np.random.default_rng(8).integers(0, 1 << 63, SLOTS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -93,35 +96,100 @@ def forest(members: np.ndarray, near: Callable[[np.ndarray, np.uint64], np.ndarr
     return edges
 
 
-def close_edges(points: DataFrame, distance: int) -> DataFrame:
-    """``a, b``: edges that connect what chains of fingerprints (column ``fp``, distinct) within the distance connect."""
-    spark = points.sparkSession
-    ship(spark)
-    masks = plan_blocks(distance, points.count())
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = points.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("m", "k"))
+def dealt(keyed: DataFrame, *carried: str) -> DataFrame:
+    """Buckets (``m, k``) of two members at least, as rows of collected ``fp`` and carried columns.
+
+    A bucket of over TILE members is dealt into tiles, and every two of its tiles meet in a row."""
     sizes = keyed.groupBy("m", "k").agg(F.count("*").alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / (TILE / 2)).cast("int")
     own = F.when(F.col("n") > TILE, F.pmod(F.xxhash64("fp"), tiles)).otherwise(F.lit(0)).cast("int")
     meets = F.when(F.col("n") > TILE, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(0)))
-    dealt = (
+    return (
         keyed.join(sizes, ["m", "k"])
-        .select("fp", "m", "k", own.alias("i"), F.explode(meets).alias("j"))
+        .select("fp", *carried, "m", "k", own.alias("i"), F.explode(meets).alias("j"))
         .groupBy("m", "k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-        .agg(F.collect_list("fp").alias("fps"))
-        .select("fps")
+        .agg(F.collect_list(F.struct("fp", *carried)).alias("members"))
+        .select("members")
     )
 
+
+def close_edges(points: DataFrame, distance: int) -> DataFrame:
+    """``a, b``: edges that connect what chains of fingerprints (column ``fp``, distinct) within the distance connect."""
+    ship(points.sparkSession)
+    masks = plan_blocks(distance, points.count())
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = points.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("m", "k"))
+
     def run(batches):
         near = lambda rest, x: np.bitwise_count(rest ^ x) <= distance
         for b in batches:
             values = b.column(0)
-            flat, offsets = values.values.to_numpy().view(np.uint64), values.offsets.to_numpy()
+            flat, offsets = values.values.field("fp").to_numpy().view(np.uint64), values.offsets.to_numpy()
             edges = [e for lo, hi in zip(offsets, offsets[1:], strict=False) for e in forest(flat[lo:hi], near)]
             pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt(keyed).mapInArrow(run, "a long, b long")
+
+
+def least_hashes(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """Signature of a shingle set: 16 bits of each of SLOTS minima; and a key for each band of them."""
+    least = np.full(SLOTS, 1 << 32, np.uint64)
+    for i in range(0, len(h), 1024):
+        least = np.minimum(least, ((h[i : i + 1024, None] * _ODD) >> np.uint64(32)).min(0))
+    bands = least[: SLOTS // ROWS * ROWS].reshape(-1, ROWS)
+    keys = np.zeros(len(bands), np.uint64)
+    for c in bands.T:
+        keys = (keys ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), keys.view(np.int64).tolist()
+
+
+def similar_edges(points: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: edges that connect the fingerprints whose texts' shingle sets are similar (``fp, sig, bands``)."""
+    keyed = points.select("fp", "sig", F.posexplode("bands").alias("m", "k"))
+
+    def run(batches):
+        for b in batches:
+            values = b.column(0)
+            fps, offsets = values.values.field("fp").to_numpy(), values.offsets.to_numpy()
+            sigs = np.frombuffer(b"".join(values.values.field("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+            near = lambda rest, x, s=sigs: (s[rest] == s[x]).sum(1) >= similarity * SLOTS
+            edges = [e for lo, hi in zip(offsets, offsets[1:], strict=False) for e in forest(np.arange(lo, hi), near)]
+            pairs = fps[np.array(edges, np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return dealt(keyed, "sig").mapInArrow(run, "a long, b long")
+
+
+def dedup(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies, all columns as they are: the smallest doc_id (null last).
+
+    Near copies are texts whose fingerprints lie within the distance. 64 bits within 4 find word
+    shingle sets of similarity 0.95 and more; for all from ``similarity`` on, bands of least hashes
+    of the same shingles add candidates, which their signatures verify (similarity less one
+    standard error of 128 slots). Groups are chains of links of both kinds."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    keys = lambda df: df.withColumn("_d", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("_u", F.xxhash64("text"))
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for t in b.column("text").to_pylist():
+                h = hashes(t, shingle)
+                made.append((fingerprint(h), *least_hashes(h)))
+            fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("_u"), pa.array(fps), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.list_(pa.int64()))], ["d", "u", "fp", "sig", "bands"])
+
+    marked = cut(keys(docs.select("doc_id", "text")).select("_d", "_u", "text").mapInArrow(run, "d long, u long, fp long, sig binary, bands array<long>"))
+    points = cut(marked.groupBy("fp").agg(F.min_by(F.struct("sig", "bands"), F.struct("d", "u")).alias("x"), F.min(F.struct("d", "u")).alias("first")).select("fp", "first", "x.sig", "x.bands"))
+    roots = components(close_edges(points.select("fp"), distance).unionAll(similar_edges(points, similarity - 0.035)))
+    placed = points.join(roots, points.fp == roots.vertex, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    chosen = cut(placed.select("first.d", "first.u"))
+    found = keys(docs).join(chosen, (F.col("_d") == chosen.d) & (F.col("_u") == chosen.u), "left_semi")
+    repeats = F.row_number().over(Window.partitionBy("_d", "_u").orderBy(F.lit(1)))
+    return found.withColumn("_k", repeats).filter("_k = 1").select(*docs.columns)
 
 
 def group(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
