@@ -51,13 +51,13 @@ def value_variants(value: Column) -> Column:
 def extract_literals(text: Column) -> Column:
     """Quoted spans, all-capitals, capitalised words and numbers, in this order, without repeats."""
     words = F.array_except(F.concat(_found(text, UPPER), _found(text, TITLE)), F.array(*map(F.lit, STOP_WORDS)))
-    quoted = F.transform(_found(text, QUOTED, 1), F.trim)
+    quoted = F.transform(_found(text, QUOTED, 1), lambda x: F.trim(x))
     return kept(F.concat(quoted, words, _found(text, NUMBER)))
 
 
 def sql_literals(sql: Column) -> Column:
     """Spans in single quotes, trimmed, without repeats."""
-    return kept(F.transform(_found(sql, "'([^']*)'", 1), F.trim))
+    return kept(F.transform(_found(sql, "'([^']*)'", 1), lambda x: F.trim(x)))
 
 
 def mask_question(text: Column) -> Column:
@@ -85,7 +85,8 @@ def final_answer(raw: Column) -> Column:
     """What stands between the last begin and the last end mark; the whole text where that is missing or blank."""
     s = F.trim(F.coalesce(raw, F.lit("")))
     tail = F.substring_index(s, FINAL_BEGIN, -1)
-    block = F.trim(F.substring_index(tail, FINAL_END, F.size(F.split(tail, FINAL_END)) - 1))
+    parts = F.split(tail, FINAL_END)
+    block = F.regexp_replace(F.array_join(F.slice(parts, 1, F.size(parts) - 1), FINAL_END), r"^\s+|\s+$", "")
     return F.when(s.contains(FINAL_BEGIN) & tail.contains(FINAL_END) & (block != ""), block).otherwise(s)
 
 

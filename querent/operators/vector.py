@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.functions.shingles import kshingles
 from querent.functions.text import mask_question
 
 
+#: Length of hashed embeddings.
+DIMS = 256
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in doubles."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def unit(v: Column) -> Column:
-    """A vector of length one; zero stays zero."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+@F.pandas_udf("array<double>")
+def hashed(texts: pd.Series) -> pd.Series:
+    """Deterministic embedding without a model: counts of lower-case character trigrams by hash; null: zeros."""
 
+    def one(text: str | None) -> list[float]:
+        s = (text or "").lower()
+        grams = [s[i : i + 3] for i in range(max(1, len(s) - 2))] if s else []
+        return np.bincount([zlib.crc32(g.encode()) % DIMS for g in grams], minlength=DIMS).astype(float).tolist()
 
-def hashed(text: Column, dims: int = 256) -> Column:
-    """Deterministic embedding without a model: counts of character trigrams by hash, of length one."""
-    slots = F.transform(kshingles(F.lower(text)), lambda s: F.pmod(F.xxhash64(s), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return unit(counts)
+    return texts.map(one, na_action=None)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, blocks: int = 64) -> DataFrame:
@@ -40,13 +50,14 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, blocks: int = 64) -> Data
     once, and a task keeps k rows a query before the shuffle that merges them. Where the queries are
     small, Spark broadcasts them and nothing else moves."""
     apart = "own" in queries.columns and "own" in rows.columns
-    q = queries.select("query_id", unit(F.col("vector")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), *([F.col("own").alias("mine")] if apart else []))
-    r = rows.select("row_id", unit(F.col("vector")).alias("r"), *(["own"] if apart else [])).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    q = queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), *([F.col("own").alias("mine")] if apart else []))
+    r = rows.select("row_id", F.col("vector").alias("r"), norm(F.col("vector")).alias("nr"), *(["own"] if apart else [])).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     met = r.join(q, "block")
     if apart:
         met = met.filter(~F.col("own").eqNullSafe(F.col("mine")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return met.select("query_id", "row_id", dot(F.col("q"), F.col("r")).alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    score = F.when((F.col("nq") > 0) & (F.col("nr") > 0), dot(F.col("q"), F.col("r")) / (F.col("nq") * F.col("nr"))).otherwise(0.0)
+    return met.select("query_id", "row_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def few_shots(questions: DataFrame, pool: DataFrame, k: int = 8) -> DataFrame:
