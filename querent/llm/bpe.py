@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from querent.llm.common import ship, small_batches
 
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Bytes of a word above which a heap replaces the recursive query.
 LONG_WORD = 400
 #: Bytes of new words in one recursive query, and ids in one decoding query.
@@ -90,7 +90,7 @@ class Codec:
         self.split = splitter(pattern)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.cache: dict[str, bytes] = {}
-        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pa.table([pa.array(c, pa.int32()) for c in zip(*rows, strict=True)], ["l", "r", "merged"])
         tokens = pa.table([pa.array(list(self.ranks.values()), pa.int32()), pa.array([t.decode("latin-1") for t in self.ranks])], ["id", "s"])
@@ -191,7 +191,7 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def groups(batch: pa.RecordBatch, column: str, limit: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def groups(batch: pa.RecordBatch, column: str, limit: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` characters at most; a longer text is alone."""
     size, begin = 0, 0
     for i, v in enumerate(batch.column(column)):
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text", ids:
     broadcast: its size is fixed by the tokenizer, not by the data."""
     spark = docs.sparkSession
     ship(spark)
-    small_batches(spark, 2000)
+    small_batches(spark, 1000)
     vocabulary = spark.sparkContext.broadcast(load(path))
     docs = docs.drop(ids, *([decoded] if decoded else []))
     schema = StructType([*docs.schema.fields, StructField(ids, BinaryType() if packed else ArrayType(IntegerType()))])
@@ -249,7 +249,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", decoded: st
     """Append the bytes of an id array column; null ids give null."""
     spark = df.sparkSession
     ship(spark)
-    small_batches(spark, 2000)
+    small_batches(spark, 1000)
     vocabulary = spark.sparkContext.broadcast(load(path))
     df = df.drop(decoded)
 
