@@ -12,7 +12,7 @@ def majority(votes: DataFrame) -> DataFrame:
     ``winner_idx, method, agreement``: the first candidate of the earliest group of two equal results
     or more (``majority``), else null (``none``). Failed candidates don't vote."""
     groups = votes.filter("ok and result is not null").groupBy("question_id", "result").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.get(F.sort_array(F.collect_list("idx")), F.lit(1)).alias("second"))
-    best = groups.filter("n >= 2").groupBy("question_id").agg(F.min_by(F.struct("first", "n"), F.struct("second", "first")).alias("m"))
+    best = groups.filter("n >= 2").groupBy("question_id").agg(F.min_by(F.struct("first", "n"), F.struct("second", "first", "result")).alias("m"))
     return votes.select("question_id").distinct().join(best, "question_id", "left").select("question_id", F.col("m.first").alias("winner_idx"), F.when(F.col("m").isNotNull(), "majority").otherwise("none").alias("method"), F.coalesce("m.n", F.lit(0)).cast("long").alias("agreement"))
 
 

@@ -291,7 +291,9 @@ def sql_string_literals(spark: SparkSession, path: str) -> DataFrame:
     return t(spark, path, "customer").select("c_custkey", F.array_join(text.sql_literals(sql), "|").alias("literals"))
 
 
-@query(r"""SELECT o_orderkey, 'List the ID AND <code> of orders of <year> with priority <value> over <number> by <number>' AS masked FROM orders""")
+@query(r"""SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  'List the ID AND SUM of orders of ' || year(o_orderdate) || ' with priority ''' || o_orderpriority || ''' over ' || floor(o_totalprice)::BIGINT || '.5 by ' || o_custkey + 100000,
+  '["''][^"'']{1,100}["'']', '<value>', 'g'), '\b(?:19|20)\d{2}\b', '<year>', 'g'), '\b\d+(?:\.\d+)?\b', '<number>', 'g'), '\bSUM\b', '<code>', 'g') AS masked FROM orders""")
 def mask_question(spark: SparkSession, path: str) -> DataFrame:
     q = F.concat(F.lit("List the ID AND SUM of orders of "), F.year("o_orderdate").cast("string"), F.lit(" with priority '"), "o_orderpriority", F.lit("' over "), F.floor("o_totalprice").cast("string"), F.lit(".5 by "), (F.col("o_custkey") + 100000).cast("string"))
     return t(spark, path, "orders").select("o_orderkey", text.mask_question(q).alias("masked"))
@@ -472,8 +474,8 @@ def votes(spark: SparkSession, path: str) -> DataFrame:
 
 
 _VOTES_SQL = "v AS (SELECT l_orderkey AS question_id, l_linenumber AS idx, CASE WHEN l_linestatus = 'O' THEN ' ' ELSE 'SELECT 1' END AS sql, l_returnflag <> 'R' AS ok, l_returnflag || floor(l_quantity / 20)::INTEGER AS result FROM lineitem)"
-_MAJORITY_SQL = f"""WITH {_VOTES_SQL}, g AS (SELECT question_id, count(*)::BIGINT AS n, min(idx) AS first, list_sort(list(idx))[2] AS second FROM v WHERE ok GROUP BY question_id, result HAVING count(*) >= 2),
-b AS (SELECT question_id, first, n FROM g QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY second, first) = 1),
+_MAJORITY_SQL = f"""WITH {_VOTES_SQL}, g AS (SELECT question_id, result, count(*)::BIGINT AS n, min(idx) AS first, list_sort(list(idx))[2] AS second FROM v WHERE ok GROUP BY question_id, result HAVING count(*) >= 2),
+b AS (SELECT question_id, first, n FROM g QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY second, first, result) = 1),
 m AS (SELECT question_id, first AS winner_idx, CASE WHEN n IS NULL THEN 'none' ELSE 'majority' END AS method, coalesce(n, 0)::BIGINT AS agreement FROM (SELECT DISTINCT question_id FROM v) LEFT JOIN b USING (question_id))"""
 
 
@@ -482,8 +484,8 @@ def majority_vote(spark: SparkSession, path: str) -> DataFrame:
     return vote.majority(votes(spark, path))
 
 
-@query(f"""{_MAJORITY_SQL}, o AS (SELECT question_id, min(idx) FILTER (ok) AS valid, min(idx) FILTER (trim(sql) <> '') AS some FROM v GROUP BY 1)
-SELECT question_id, coalesce(winner_idx, valid, some) AS winner_idx, CASE WHEN method = 'majority' THEN method WHEN valid IS NOT NULL THEN 'first_valid' WHEN some IS NOT NULL THEN 'fallback' ELSE 'none' END AS method, agreement FROM m JOIN o USING (question_id)""")
+@query(f"""{_MAJORITY_SQL}, o AS (SELECT question_id, min(idx) FILTER (ok) AS valid, min(idx) FILTER (trim(sql) <> '') AS blankless FROM v GROUP BY 1)
+SELECT question_id, coalesce(winner_idx, valid, blankless) AS winner_idx, CASE WHEN method = 'majority' THEN method WHEN valid IS NOT NULL THEN 'first_valid' WHEN blankless IS NOT NULL THEN 'fallback' ELSE 'none' END AS method, agreement FROM m JOIN o USING (question_id)""")
 def vote_fallback_ladder(spark: SparkSession, path: str) -> DataFrame:
     return vote.ladder(votes(spark, path))
 
