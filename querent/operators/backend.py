@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.functions.text import FINAL_BEGIN, FINAL_END
+from querent.session import ship
 
 Message = dict[str, str]
 
@@ -76,6 +77,7 @@ def generate(prompts: DataFrame, done: DataFrame, kind: str, keys: list[str], **
     backend once and streams rows through it."""
     import pandas as pd
 
+    ship(prompts.sparkSession)
     rest = prompts.join(done.select(*keys).distinct(), keys, "left_anti").select(*keys, "system", "user")
 
     def run(frames):

@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from querent.functions.text import mask_question
+from querent.session import ship
 
 
 #: Length of hashed embeddings.
@@ -29,7 +31,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hashed(texts: pd.Series) -> pd.Series:
     """Deterministic embedding without a model: counts of lower-case character trigrams by hash; null: zeros."""
 
@@ -63,5 +65,6 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, blocks: int = 64) -> Data
 def few_shots(questions: DataFrame, pool: DataFrame, k: int = 8) -> DataFrame:
     """The k pool questions (``row_id, question``) nearest to each question (``query_id, question``)
     after masking. A pool question of the same text is left out before, not after, the k are taken."""
+    ship(questions.sparkSession)
     shaped = lambda df, i: df.select(i, hashed(mask_question(F.col("question"))).alias("vector"), F.sha2(F.trim("question"), 256).alias("own"))
     return top_k(shaped(questions, "query_id"), shaped(pool, "row_id"), k)
