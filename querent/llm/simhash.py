@@ -96,19 +96,21 @@ def forest(members: np.ndarray, near: Callable[[np.ndarray, np.uint64], np.ndarr
     return edges
 
 
-def dealt(keyed: DataFrame, *carried: str) -> DataFrame:
-    """Buckets (``m, k``) of two members at least, as rows of collected ``fp`` and carried columns.
+def dealt(keyed: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """Buckets (``m, k``) of two members at least, as rows of collected ``fp`` and columns carried by ``fp``.
 
-    A bucket of over TILE members is dealt into tiles, and every two of its tiles meet in a row."""
+    A bucket of over TILE members is dealt into tiles, and every two of its tiles meet in a row.
+    Carried columns join only what is left once members alone in their bucket are gone."""
     sizes = keyed.groupBy("m", "k").agg(F.count("*").alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / (TILE / 2)).cast("int")
     own = F.when(F.col("n") > TILE, F.pmod(F.xxhash64("fp"), tiles)).otherwise(F.lit(0)).cast("int")
     meets = F.when(F.col("n") > TILE, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(0)))
+    met = keyed.join(sizes, ["m", "k"]).select("fp", "m", "k", own.alias("i"), F.explode(meets).alias("j"))
+    if carried is not None:
+        met = met.join(carried, "fp")
     return (
-        keyed.join(sizes, ["m", "k"])
-        .select("fp", *carried, "m", "k", own.alias("i"), F.explode(meets).alias("j"))
-        .groupBy("m", "k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-        .agg(F.collect_list(F.struct("fp", *carried)).alias("members"))
+        met.groupBy("m", "k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+        .agg(F.collect_list(F.struct("fp", *[c for c in (carried.columns if carried is not None else []) if c != "fp"])).alias("members"))
         .select("members")
     )
 
@@ -147,7 +149,7 @@ def least_hashes(h: np.ndarray) -> tuple[bytes, list[int]]:
 
 def similar_edges(points: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: edges that connect the fingerprints whose texts' shingle sets are similar (``fp, sig, bands``)."""
-    keyed = points.select("fp", "sig", F.posexplode("bands").alias("m", "k"))
+    keyed = points.select("fp", F.posexplode("bands").alias("m", "k"))
 
     def run(batches):
         for b in batches:
@@ -159,7 +161,7 @@ def similar_edges(points: DataFrame, similarity: float) -> DataFrame:
             pairs = fps[np.array(edges, np.int64).reshape(-1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return dealt(keyed, "sig").mapInArrow(run, "a long, b long")
+    return dealt(keyed, points.select("fp", "sig")).mapInArrow(run, "a long, b long")
 
 
 def dedup(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: float = 0.8) -> DataFrame:
