@@ -84,7 +84,7 @@ class Parser:
     """Automata of all languages in one table of flat offsets.
 
     An entry is the next state's offset; where no match goes on, it is the complement of the state
-    after the same character from the root, and its sign counts the phrase that ended."""
+    after the same character from the root, and its sign counts the phrase that begins."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
@@ -106,12 +106,14 @@ class Parser:
         for lang in self.langs:
             codes = self.encode(texts[lang])
             to = automaton(codes, symbols)
-            at = np.arange(len(to), dtype=np.int32)[:, None]
-            start = np.maximum(to[0], 0)[None, :]
+            # one more state, where every text starts and what follows a character seen nowhere: no phrase is open
+            to = np.vstack([to, np.full((1, symbols), -1, np.int32)])
+            dead = len(to) - 1
+            start = np.where(to[0] >= 0, to[0], dead)[None, :]
             flat = np.where(to >= 0, base + to * symbols, ~(base + start * symbols))
-            flat[:, self.pad] = (base + at * symbols)[:, 0]
+            flat[:, self.pad] = base + np.arange(len(to)) * symbols
             tables.append(flat.astype(np.int32).ravel())
-            self.root.append(base)
+            self.root.append(base + dead * symbols)
             self.bits.append(math.log2(len(codes) + 1))
             base += flat.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
@@ -131,11 +133,11 @@ class Parser:
             at += k
         steps = np.ascontiguousarray(grid.reshape(n, SEGMENT).T).astype(np.int32)
         state = np.repeat(np.array(self.root, np.int32)[:, None], n, 1)
-        count = np.ones((len(self.root), n), np.int32)
+        count = np.zeros((len(self.root), n), np.int32)
         for row in steps:
             state += row
             state = self.table[state]
-            ended = state >> 31  # -1 where a phrase ended
+            ended = state >> 31  # -1 where a phrase begins
             count -= ended
             state ^= ended
         owner = np.repeat(np.arange(len(texts)), pieces)

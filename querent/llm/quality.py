@@ -34,7 +34,7 @@ SAMPLE, POOL = 4000, 3000
 ROUNDS, ADD = 3, 100
 CONFIDENT = 0.95
 #: G statistic from which a word is evidence, and the words one head keeps.
-EVIDENCE, WORDS = 20.0, 400
+EVIDENCE, WORDS = 12.0, 400
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t", "line": b"\n", "stop": b".,;:?", "bang": b"!", "mark": b"#$%&*|~^@=<>{}[]\\/_+"}
