@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from querent.session import ship
+
+__all__ = ["cut", "read", "shared_folder", "ship", "small_batches"]
 
 #: Rows of one Arrow batch sent to Python; whole documents can be long, so batches stay short.
 BATCH_ROWS = 500
@@ -19,21 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that no executor needs a checkout."""
-    sc = spark.sparkContext
-    if getattr(sc, "_querent_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="querent-")
-    target = os.path.join(folder, "querent_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent).as_posix())
-    sc.addPyFile(target)
-    sc._querent_shipped = True
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); one of this machine only where none is set."""
     sc = spark.sparkContext
@@ -52,13 +37,3 @@ def cut(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds; long texts make default batches large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def parallel(spark: SparkSession) -> int:
-    """Shuffle partitions as set by the cluster."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def text_bytes(col: str = "text"):
-    """UTF-8 length of a text column, null as 0."""
-    return F.coalesce(F.octet_length(F.col(col)), F.lit(0))
