@@ -57,6 +57,11 @@ def questions(spark: SparkSession, path: str, db_id: str | None = None, limit: i
     return first_per_group(q, "db_id", "question_id", limit) if limit else q
 
 
+def train_questions(spark: SparkSession, path: str, fallback: str) -> DataFrame:
+    """Training questions; where that file is missing, the fallback's questions."""
+    return questions(spark, path if exists(spark, path) else fallback).select("question", "SQL", "evidence", "db_id")
+
+
 def remaining(todo: DataFrame, results: DataFrame, errors: DataFrame, key: str = "question_id") -> DataFrame:
     """What neither succeeded nor failed yet."""
     return todo.join(results.select(key).union(errors.select(key)).distinct(), key, "left_anti")

@@ -155,6 +155,8 @@ def test_result_files(spark, tmp_path):
     q.write_text(json.dumps([{"question_id": i, "db_id": "ab"[i % 2], "question": "?"} for i in range(6)]))
     assert rows(files.questions(spark, str(q), limit=2), "question_id") == [(0,), (1,), (2,), (3,)]
     assert rows(files.questions(spark, str(q), "b", 1), "question_id") == [(1,)]
+    q.write_text(json.dumps([{"question": "?", "SQL": "SELECT 1", "evidence": "", "db_id": "a"}]))
+    assert files.train_questions(spark, f"{tmp_path}/none.json", str(q)).count() == 1
     todo = spark.range(4).withColumnRenamed("id", "question_id")
     assert rows(files.remaining(todo, todo.filter("question_id = 1"), todo.filter("question_id = 3")), "question_id") == [(0,), (2,)]
 
