@@ -122,6 +122,33 @@ class Database:
 
         return names
 
+    def commented(self, profiles: DataFrame, mode: str) -> DataFrame:
+        """The catalog with the comment that a profile mode puts behind each column (``short_profile,
+        profile_text, full_text`` of profiles; columns without one get none)."""
+        texts = [F.col(c) if c in profiles.columns else F.lit(None).cast("string") for c in ("short_profile", "profile_text", "full_text")]
+        return self.catalog.join(profiles.select(*KEYS, render.column_comment(mode, *texts).alias("comment")), KEYS, "left")
+
+    def generated_links(self, question_id: int, question: str, focused: DataFrame, backend: Backend, profiles: DataFrame, variants: DataFrame, evidence: str = "", examples: str = "") -> tuple[DataFrame, dict[str, str]]:
+        """Columns that candidates of all five prompts refer to, and each prompt's chosen statement.
+
+        Every prompt has three candidates, two of them with shuffled columns; each is repaired and
+        asked again while columns that hold its literals are missing."""
+        lacking, links, chosen = self.missing(variants), set(), {}
+        for name, tables, columns, mode in link.COMBOS:
+            part = link.shown(self.commented(profiles, mode), focused, tables, columns)
+            made = []
+            for temperature, seed in link.CANDIDATES:
+                place = link.shuffled(self.catalog, seed).withColumnRenamed("place", "ordinal") if seed is not None else None
+                ordered = part if place is None else part.drop("ordinal").join(place, KEYS)
+                prompt = self.schema_prompt(ordered, question, evidence, examples, comment="comment")
+                sql = correct.generate_sql(self.spark, backend, prompt, repair=repair.repair, temperature=temperature, seed=seed)
+                if sql:
+                    sql = correct.literal_corrected(self.spark, backend, prompt, sql, lacking)
+                    links |= lineage.columns(self.spark, sql, self.schema())
+                made.append(correct.Corrected(sql, outcome=run(self.spark, sql)))
+            chosen[name] = self.choose(question_id, question, made).sql
+        return self.spark.createDataFrame([(question_id, *x) for x in sorted(links)], "question_id long, table string, column string"), chosen
+
     def answer(self, question_id: int, question: str, linked: DataFrame, backend: Backend, evidence: str = "", examples: str = "", retries: int = 3) -> Answer:
         """Three candidates by three strategies, each corrected, then a vote; ties ask the generator."""
         made: list[correct.Corrected] = []

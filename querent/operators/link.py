@@ -29,16 +29,35 @@ def union_links(links: DataFrame) -> DataFrame:
     return links.select("question_id", *KEYS).distinct()
 
 
-#: The five prompts: tables, columns and profiles that each shows.
-COMBOS = [("focused", "focused", "short"), ("focused", "focused", "long"), ("focused", "all", "short"), ("all", "all", "short"), ("focused", "focused", "full")]
+# The five prompts (name, tables, columns, profiles shown) and each prompt's
+# candidates (temperature, seed of the column order).
+COMBOS = [
+    ("focused_short", "focused", "focused", "short"),
+    ("focused_long", "focused", "focused", "long"),
+    ("full_short", "all", "all", "short"),
+    ("full_long", "all", "all", "long"),
+    ("focused_full", "focused", "all", "full"),
+]
+CANDIDATES = [(0.0, None), (0.7, 1), (0.7, 2)]
+# End of fixed values.
 
 
 def combos(question_ids: DataFrame) -> DataFrame:
     """Each question with the five prompt settings. The settings are five rows."""
-    rows = question_ids.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(COMBOS)], "combo int, tables string, columns string, profile_mode string")
+    rows = question_ids.sparkSession.createDataFrame(COMBOS, "combo string, tables string, columns string, profile_mode string")
     return question_ids.join(F.broadcast(rows))
 
 
+def shown(catalog: DataFrame, focused: DataFrame, tables: str, columns: str) -> DataFrame:
+    """The part of the catalog that a prompt setting shows, for one question's focused columns."""
+    out = catalog
+    if tables == "focused":
+        out = out.join(focused.select("table").distinct(), "table", "left_semi")
+    if columns == "focused":
+        out = out.join(focused.select(*KEYS).distinct(), KEYS, "left_semi")
+    return out
+
+
 def shuffled(catalog: DataFrame, seed: int) -> DataFrame:
     """Columns of each table in a seeded order that every run repeats: ``table, column, place``."""
     from pyspark.sql import Window

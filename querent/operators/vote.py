@@ -43,8 +43,13 @@ def correction_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("question_id").agg(F.count("*").alias("n_attempts"), F.count_if(F.col("action").isin("fixed", "recovered", "success")).alias("n_fixed"), F.max_by("action", F.struct("attempt", "action")).alias("last_action"))
 
 
-#: The candidates' strategies: schema shown, profiles, examples, temperature, seed.
-STRATEGIES = [("full_few_shot", "full", "short", True, 0.0, None), ("pruned_full", "pruned", "full", True, 0.0, None), ("pruned_long", "pruned", "long", False, 0.7, 42)]
+# The candidates' strategies (name, schema shown, profiles, examples, temperature, seed).
+STRATEGIES = [
+    ("wide_net", "full", "short", True, 0.0, None),
+    ("deep_focus", "pruned", "full", True, 0.0, None),
+    ("independent_thinker", "pruned", "long", False, 0.7, 42),
+]
+# End of fixed values.
 
 
 def strategy_matrix(questions: DataFrame) -> DataFrame:

@@ -440,7 +440,7 @@ def link_union(spark: SparkSession, path: str) -> DataFrame:
     return link.union_links(d.select(F.col("source").alias("question_id"), F.col("lang").alias("table"), F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("column")))
 
 
-@query("SELECT item_id AS question_id, c.* FROM benchmark, (VALUES (0, 'focused', 'focused', 'short'), (1, 'focused', 'focused', 'long'), (2, 'focused', 'all', 'short'), (3, 'all', 'all', 'short'), (4, 'focused', 'focused', 'full')) AS c(combo, tables, columns, profile_mode)")
+@query("SELECT item_id AS question_id, c.* FROM benchmark, (VALUES ('focused_short', 'focused', 'focused', 'short'), ('focused_long', 'focused', 'focused', 'long'), ('full_short', 'all', 'all', 'short'), ('full_long', 'all', 'all', 'long'), ('focused_full', 'focused', 'all', 'full')) AS c(combo, tables, columns, profile_mode)")
 def prompt_combos(spark: SparkSession, path: str) -> DataFrame:
     return link.combos(t(spark, path, "benchmark").select(F.col("item_id").alias("question_id")))
 
@@ -502,7 +502,7 @@ def correction_log_summary(spark: SparkSession, path: str) -> DataFrame:
     return vote.correction_summary(t(spark, path, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("attempt"), action.alias("action")))
 
 
-@query("SELECT item_id AS question_id, s.* FROM benchmark, (VALUES ('full_few_shot', 'full', 'short', true, 0.0::DOUBLE, NULL::INTEGER), ('pruned_full', 'pruned', 'full', true, 0.0::DOUBLE, NULL::INTEGER), ('pruned_long', 'pruned', 'long', false, 0.7::DOUBLE, 42)) AS s(strategy, schema_mode, profile_mode, use_fewshot, temperature, seed)")
+@query("SELECT item_id AS question_id, s.* FROM benchmark, (VALUES ('wide_net', 'full', 'short', true, 0.0::DOUBLE, NULL::INTEGER), ('deep_focus', 'pruned', 'full', true, 0.0::DOUBLE, NULL::INTEGER), ('independent_thinker', 'pruned', 'long', false, 0.7::DOUBLE, 42)) AS s(strategy, schema_mode, profile_mode, use_fewshot, temperature, seed)")
 def strategy_matrix(spark: SparkSession, path: str) -> DataFrame:
     return vote.strategy_matrix(t(spark, path, "benchmark").select(F.col("item_id").alias("question_id")))
 

@@ -70,3 +70,14 @@ def test_answers_resume(spark, db, tmp_path):
 def test_links_of_statements(spark, db):
     s = spark.createDataFrame([(1, "SELECT c_name || c_mktsegment FROM customer"), (1, "SELECT c_name FROM customer"), (2, "nonsense n_name FROM nation")], "question_id long, sql string")
     assert {tuple(r) for r in db.schema_links(s).collect()} == {(1, "customer", "c_name"), (1, "customer", "c_mktsegment"), (2, "nation", "n_name")}
+
+
+def test_links_by_generation(spark, db):
+    focused = spark.createDataFrame([("nation", "n_name")], "table string, column string")
+    profiles = spark.createDataFrame([("nation", "n_name", "Its name.")], "table string, column string, short_profile string")
+    variants = spark.createDataFrame([("nation", "n_name", "NATION_3")], "table string, column string, variant string")
+    b = Scripted(["SELECT n_nationkey FROM nation WHERE n_name = 'NATION_3'"])
+    found, chosen = db.generated_links(1, "?", focused, b, profiles, variants)
+    assert {tuple(r) for r in found.collect()} == {(1, "nation", "n_name"), (1, "nation", "n_nationkey")}
+    assert len(b.asked) == 15 and set(chosen) == {"focused_short", "focused_long", "full_short", "full_long", "focused_full"}
+    assert "n_name string  -- Its name." in b.asked[0][0]["content"] and "c_name" not in b.asked[0][0]["content"] and "c_name" in b.asked[6][0]["content"]
