@@ -33,8 +33,9 @@ from querent.llm.common import ship, small_batches
 SAMPLE, POOL = 4000, 3000
 ROUNDS, ADD = 3, 100
 CONFIDENT = 0.95
-#: G statistic from which a word is evidence, and the words one head keeps.
-EVIDENCE, WORDS = 12.0, 400
+#: G statistic from which a word is evidence, of quality and of toxicity (which is a matter of words), and
+#: the words one head keeps.
+EVIDENCE, WORDS = (20.0, 12.0), 400
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t", "line": b"\n", "stop": b".,;:?", "bang": b"!", "mark": b"#$%&*|~^@=<>{}[]\\/_+"}
@@ -122,7 +123,7 @@ class View:
 class Head:
     """Two views of one label, co-trained, calibrated and blended."""
 
-    def __init__(self, labelled: list[tuple], y: np.ndarray, pool: list[tuple]):
+    def __init__(self, labelled: list[tuple], y: np.ndarray, pool: list[tuple], evidence: float):
         """labelled and pool: (dense, words, metadata) of each document."""
         self.constant = None
         held = np.arange(len(y)) % 4 == 3  # rows come in hash order
@@ -137,7 +138,7 @@ class Head:
         def view(v: str) -> View:
             rs, yy, ww = given[v]
             dense = np.stack([r[0] for r in rs]) if v == "A" else np.repeat(none, len(rs), 0)
-            return View(dense, [r[1] if v == "A" else r[2] for r in rs], yy, ww, EVIDENCE if v == "A" else 4.0)
+            return View(dense, [r[1] if v == "A" else r[2] for r in rs], yy, ww, evidence if v == "A" else 4.0)
 
         def says(m: View, v: str, rs: list[tuple]) -> np.ndarray:
             if not rs:
@@ -205,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Head, Head]:
     heads = []
     for k in (0, 1):
         ids = [i for i in given if i in seen and given[i][k] is not None]
-        heads.append(Head([seen[i] for i in ids], np.array([float(given[i][k] > 0.5) for i in ids]), unlabelled))
+        heads.append(Head([seen[i] for i in ids], np.array([float(given[i][k] > 0.5) for i in ids]), unlabelled, EVIDENCE[k]))
     return heads[0], heads[1]
 
 
