@@ -6,11 +6,12 @@ to Hamming tables: those that agree on a table's bits meet in a bucket. Matching
 (Hamming distance at most ``NEAR``) vote, by the similarity transform they imply, and images whose
 votes agree on one transform are copies, cropped, scaled, turned or edited alike.
 
-Equal images are one image before any table (by digest of their pixels). In a bucket
-of up to ``CROWD`` images all meet; in a larger one all meet its first two in a random order of all
-images, so a descriptor that thousands of images share costs two rows an image, not all pairs: its
-copies still meet through these heads, and through the images' other descriptors. Verified pairs go through connected
-components: a row per image with its class, and how many verified links it has.
+Equal images are one image before any table (by digest of their pixels). All images of a bucket meet
+in pairs, large buckets in tiles; each pair is verified once however many buckets it shares. Candidate
+pairs are packed by the two parts of all images that they lie in, so a descriptor goes once to each
+pair of parts that needs it, not to each pair of images, and a verified group sends a spanning forest
+and the number of its links. Components of these: a row per image with its class, and how many verified
+links it has, over all candidates.
 
 Cases: an image that can't be decoded, is null, or has under ``LEAST`` corners can only equal others
 exactly; nulls in ids are dropped; repeated rows share a class; an empty table gives no rows.
@@ -19,22 +20,24 @@ exactly; nulls in ids are dropped; repeated rows share a class; an empty table g
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm.common import cut, ship, small_batches
 from querent.llm.components import components
+from querent.llm.simhash import dealt
 
 SCALES, CORNERS, RADIUS = (1.0, 0.75, 0.5625), 16, 9
 THRESHOLD, ARC = 12, 9
 BITS, TABLES, TABLE_BITS = 256, 4, 64
 #: Hamming distance of matching descriptors; matches that agree on a transform; corners needed.
 NEAR, AGREE, LEAST = 48, 9, 6
-#: Members of a bucket that meet in pairs; of a larger one all meet its first two.
-CROWD = 16
+#: Images are in ``CELLS`` parts, or more of ``CELL`` images; pairs of two parts are verified together, packed by ``PAIRS``.
+CELLS, CELL, PAIRS = 8, 10_000, 200_000
 
 _CIRCLE = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 _RNG = np.random.default_rng(20)
@@ -150,7 +153,7 @@ def table_keys(codes: np.ndarray) -> np.ndarray:
 
 
 def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """Matches of two images that agree on one similarity transform."""
+    """Matches of two images that agree on one similarity transform; 0 if under ``AGREE`` do."""
     (pa_, ca), (pb, cb) = a, b
     if len(ca) < LEAST or len(cb) < LEAST:
         return 0
@@ -162,12 +165,13 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     turn = pb[j, 3] - pa_[i, 3]
     c, s = scale * np.cos(turn), scale * np.sin(turn)
     tx, ty = pb[j, 0] - (c * pa_[i, 0] - s * pa_[i, 1]), pb[j, 1] - (s * pa_[i, 0] + c * pa_[i, 1])
+    # every match proposes; at most corners x scales of them
+    x = c[:, None] * pa_[i, 0] - s[:, None] * pa_[i, 1] + tx[:, None]
+    y = s[:, None] * pa_[i, 0] + c[:, None] * pa_[i, 1] + ty[:, None]
+    inside = np.hypot(x - pb[j, 0], y - pb[j, 1]) <= 3
     best = 0
-    for k in range(len(i)):  # every match proposes; at most corners x scales of them
-        x = c[k] * pa_[i, 0] - s[k] * pa_[i, 1] + tx[k]
-        y = s[k] * pa_[i, 0] + c[k] * pa_[i, 1] + ty[k]
-        inside = np.hypot(x - pb[j, 0], y - pb[j, 1]) <= 3
-        best = max(best, min(len(set(i[inside].tolist())), len(set(j[inside].tolist()))))
+    for k in np.flatnonzero(inside.sum(1) >= AGREE):
+        best = max(best, min(len(set(i[inside[k]].tolist())), len(set(j[inside[k]].tolist()))))
     return best
 
 
@@ -197,6 +201,11 @@ def _unpack(points: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([p["x"] / 8, p["y"] / 8, p["s"] / 64, p["a"] * np.pi / 127], 1).astype(np.float32), np.frombuffer(codes, np.uint8).reshape(-1, BITS // 8)
 
 
+def _part(v: np.ndarray, parts: int) -> np.ndarray:
+    """Which of the parts of all images an image is in."""
+    return ((v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
 def copies(images: DataFrame) -> DataFrame:
     """``image_id, class_id, n_links, n_corners`` of every image; class: smallest id among its copies."""
     spark = images.sparkSession
@@ -218,26 +227,78 @@ def copies(images: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("v").to_numpy(), [len(k) for k in made])), pa.array(np.concatenate([np.zeros(0, np.int64), *made]))], ["v", "key"])
 
     keyed = described.filter(F.length("codes") >= LEAST * BITS // 8).select("v", "codes").mapInArrow(keys, "v long, key long")
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = cut(keyed.join(crowd, "key"))
-    few, many = met.filter(F.col("n") <= CROWD), met.filter(F.col("n") > CROWD)
-    # one order of images for all buckets: look-alikes that meet in many buckets meet the same heads
-    order = Window.partitionBy("key").orderBy(F.xxhash64("v"), "v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    headed = many.withColumn("one", F.first("v").over(order)).withColumn("two", F.nth_value("v", 2).over(order))
-    pairs = few.join(few.select("key", F.col("v").alias("w")), "key").filter("v < w").select("v", "w")
-    for head in ("one", "two"):
-        pairs = pairs.unionAll(headed.select("v", F.col(head).alias("w")).filter("v <> w"))
-    pairs = pairs.groupBy(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).agg(F.count("*").alias("shared")).filter("shared >= 2")
-    side = lambda x: described.select(F.col("v").alias(x), F.col("points").alias(f"p{x}"), F.col("codes").alias(f"c{x}"))
+    cells = max(CELLS, -(-described.count() // CELL))
+    met = dealt(keyed.select(F.col("v").alias("fp"), F.lit(0).alias("m"), F.col("key").alias("k")))
+
+    def pair(batches):
+        def packed(parts: list[np.ndarray]):
+            a, b = np.unique(np.concatenate(parts), axis=0).T
+            ga, gb = _part(a, cells), _part(b, cells)
+            a, b = np.where(ga <= gb, a, b), np.where(ga <= gb, b, a)
+            cell = np.minimum(ga, gb) * cells + np.maximum(ga, gb)
+            order = np.argsort(cell, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0, True])
+            rows = np.stack([a, b], 1)[order]
+            yield pa.RecordBatch.from_arrays([pa.array(cell[order][edges[:-1]]), pa.array([rows[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)], pa.binary())], ["cell", "pairs"])
+
+        parts, held = [], 0
+        for batch in batches:
+            values = batch.column(0)
+            flat, offsets = values.values.field("fp").to_numpy(), values.offsets.to_numpy()
+            for lo, hi in zip(offsets, offsets[1:], strict=False):
+                own = np.sort(flat[lo:hi])
+                for k in range(len(own) - 1):
+                    parts.append(np.stack([np.full(len(own) - k - 1, own[k]), own[k + 1 :]], 1))
+                    held += len(own) - k - 1
+                    if held >= PAIRS:
+                        yield from packed(parts)
+                        parts, held = [], 0
+        if parts:
+            yield from packed(parts)
+
+    def members(batches):
+        for batch in batches:
+            for cell, x in zip(batch.column("cell").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                own = np.unique(np.frombuffer(x, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), cell)), pa.array(own)], ["cell", "v"])
 
     def verify(batches):
-        for b in batches:
-            ok = [consensus(_unpack(r["pa"], r["ca"]), _unpack(r["pb"], r["cb"])) >= AGREE for r in b.to_pylist()]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    links = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "ca", "pb", "cb").mapInArrow(verify, "a long, b long"))
-    roots = components(links)
-    degree = links.select(F.col("a").alias("v")).unionAll(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.count("*").alias("n_links"))
+        def linked(pairs: list[bytes], own: dict):
+            found = [(a, b) for a, b in np.unique(np.frombuffer(b"".join(pairs), np.int64).reshape(-1, 2), axis=0).tolist() if consensus(own[min(a, b)], own[max(a, b)]) >= AGREE]
+            degree, to, edges = Counter(v for e in found for v in e), {}, []
+
+            def top(v: int) -> int:
+                while (up := to.get(v, v)) != v:
+                    to[v] = v = to.get(up, up)
+                return v
+
+            for a, b in found:
+                if (x := top(a)) != (y := top(b)):
+                    to[x] = y
+                    edges.append((a, b, 0))
+            rows = edges + [(v, v, n) for v, n in degree.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "n"])
+
+        at, own, pairs = None, {}, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["cell"] != at:
+                    if pairs:
+                        yield from linked(pairs, own)
+                    at, own, pairs = r["cell"], {}, []
+                if r["pairs"] is None:
+                    own[r["v"]] = _unpack(r["points"], r["codes"])
+                else:
+                    pairs.append(r["pairs"])
+        if pairs:
+            yield from linked(pairs, own)
+
+    pairs = cut(met.mapInArrow(pair, "cell long, pairs binary"))
+    sides = pairs.mapInArrow(members, "cell long, v long").distinct().join(described, "v").select("cell", "v", "points", "codes", F.lit(None).cast("binary").alias("pairs"))
+    lists = pairs.select("cell", F.lit(None).cast("long").alias("v"), F.lit(None).cast("binary").alias("points"), F.lit(None).cast("binary").alias("codes"), "pairs")
+    links = cut(sides.unionAll(lists).repartition("cell").sortWithinPartitions("cell", F.col("pairs").isNotNull()).mapInArrow(verify, "a long, b long, n long"))
+    roots = components(links.select("a", "b"))
+    degree = links.filter("n > 0").groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("n_links"))
     placed = described.select("v", (F.length("codes") / (BITS // 8)).cast("long").alias("n_corners")).join(roots, F.col("v") == F.col("vertex"), "left").join(degree, "v", "left").select("v", "n_corners", F.coalesce("root", "v").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = cut(placed)
     named = placed.join(placed.groupBy("root").agg(F.min("v").alias("class_id")), "root")

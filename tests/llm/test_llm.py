@@ -77,6 +77,19 @@ def test_consensus_in_a_crowded_bucket(spark):
     assert {x.class_id for x in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()} == {0}
 
 
+def test_links_in_a_crowded_bucket_are_all_counted(spark):
+    im = media.render(np.random.default_rng(9).standard_normal(64).tolist())
+    rows = []
+    for i in range(40):
+        x = im.copy()
+        x[i, :3] = i
+        rows.append((i, bytearray(media.encode(x))))
+    made = [media._unpack(media._pack(p), c.tobytes()) for p, c in (media.describe(media.decode(bytes(x))) for _, x in rows)]
+    want = Counter(v for a in range(40) for b in range(a + 1, 40) if media.consensus(made[a], made[b]) >= media.AGREE for v in (a, b))
+    got = {x.image_id: x.n_links for x in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert got == {i: want[i] for i in range(40)} and min(got.values()) > 30
+
+
 # 2
 
 
