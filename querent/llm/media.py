@@ -33,7 +33,7 @@ from querent.llm.simhash import dealt
 
 SCALES, CORNERS, RADIUS = (1.0, 0.75, 0.5625), 16, 9
 THRESHOLD, ARC = 12, 9
-BITS, TABLES, TABLE_BITS = 256, 4, 64
+BITS, TABLES, TABLE_BITS = 256, 8, 48
 #: Hamming distance of matching descriptors; matches that agree on a transform; corners needed.
 NEAR, AGREE, LEAST = 48, 9, 6
 #: Images are in ``CELLS`` parts, or more of ``CELL`` images; pairs of two parts are verified together, packed by ``PAIRS``.
@@ -148,7 +148,8 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
 def table_keys(codes: np.ndarray) -> np.ndarray:
     """One 64-bit key a descriptor and table: the table's chosen bits, mixed with its number."""
     bits = np.unpackbits(codes, axis=1)
-    mixed = [np.ascontiguousarray(np.packbits(bits[:, chosen], axis=1)).view(np.uint64)[:, 0] * np.uint64(0x9E3779B97F4A7C15 + 2 * t) for t, chosen in enumerate(_CHOSEN)]
+    blank = np.zeros((len(codes), 64 - TABLE_BITS), np.uint8)
+    mixed = [(np.packbits(np.concatenate([bits[:, chosen], blank], 1), axis=1).view(np.uint64)[:, 0] ^ np.uint64(t << 56)) * np.uint64(0x9E3779B97F4A7C15) for t, chosen in enumerate(_CHOSEN)]
     return np.concatenate(mixed).view(np.int64) if len(codes) else np.zeros(0, np.int64)
 
 

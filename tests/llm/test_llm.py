@@ -90,6 +90,22 @@ def test_links_in_a_crowded_bucket_are_all_counted(spark):
     assert got == {i: want[i] for i in range(40)} and min(got.values()) > 30
 
 
+def test_media_recall_against_consensus_of_all_pairs(spark):
+    r = np.random.default_rng(21)
+    images = []
+    for _ in range(24):
+        im = media.render(r.standard_normal(64).tolist())
+        noisy = [np.clip(im + r.normal(0, s, im.shape), 0, 255).astype(np.uint8) for s in (3, 6, 10)]
+        images += [im, im[6:, 3:], np.rot90(im).copy(), im[:-12, :-10], *noisy, *[media.resize(im, s).astype(np.uint8) for s in (1.33, 1.15, 0.8, 0.7)]]
+    made = [media._unpack(media._pack(p), c.tobytes()) for p, c in map(media.describe, images)]
+    n = len(images)
+    links = [(a, b) for a in range(n) for b in range(a + 1, n) if media.consensus(made[a], made[b]) >= media.AGREE]
+    got = media.copies(spark.createDataFrame([(i, bytearray(media.encode(x))) for i, x in enumerate(images)], "image_id long, image binary")).collect()
+    of = {x.image_id: x.class_id for x in got}
+    found, together = sum(x.n_links for x in got) / 2 / len(links), np.mean([of[a] == of[b] for a, b in links])
+    assert found > 0.85 and together > 0.95, (found, together)
+
+
 # 2
 
 
