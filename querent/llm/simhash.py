@@ -29,6 +29,8 @@ from querent.llm.components import components
 SEED, BITS, TILE = 42, 64, 4096
 #: Least hashes of a signature, and how many of them make a band.
 SLOTS, ROWS = 128, 6
+#: Share of the similarity sought from which signatures let a pair be verified: 0.65 for 0.8, over four standard errors less.
+MAYBE = 0.8125
 _ODD = np.random.default_rng(8).integers(0, 1 << 63, SLOTS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -96,21 +98,18 @@ def forest(members: np.ndarray, near: Callable[[np.ndarray, np.uint64], np.ndarr
     return edges
 
 
-def dealt(keyed: DataFrame, carried: DataFrame | None = None) -> DataFrame:
-    """Buckets (``m, k``) of two members at least, as rows of collected ``fp`` and columns carried by ``fp``.
+def dealt(keyed: DataFrame) -> DataFrame:
+    """Buckets (``m, k``) of two members at least, as rows of collected ``fp``.
 
-    A bucket of over TILE members is dealt into tiles, and every two of its tiles meet in a row.
-    Carried columns join only what is left once members alone in their bucket are gone."""
+    A bucket of over TILE members is dealt into tiles, and every two of its tiles meet in a row."""
     sizes = keyed.groupBy("m", "k").agg(F.count("*").alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / (TILE / 2)).cast("int")
     own = F.when(F.col("n") > TILE, F.pmod(F.xxhash64("fp"), tiles)).otherwise(F.lit(0)).cast("int")
     meets = F.when(F.col("n") > TILE, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(0)))
     met = keyed.join(sizes, ["m", "k"]).select("fp", "m", "k", own.alias("i"), F.explode(meets).alias("j"))
-    if carried is not None:
-        met = met.join(carried, "fp")
     return (
         met.groupBy("m", "k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-        .agg(F.collect_list(F.struct("fp", *[c for c in (carried.columns if carried is not None else []) if c != "fp"])).alias("members"))
+        .agg(F.collect_list(F.struct("fp")).alias("members"))
         .select("members")
     )
 
@@ -147,21 +146,55 @@ def least_hashes(h: np.ndarray) -> tuple[bytes, list[int]]:
     return (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), keys.view(np.int64).tolist()
 
 
-def similar_edges(points: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: edges that connect the fingerprints whose texts' shingle sets are similar (``fp, sig, bands``)."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def shingle_sets(points: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``fp, set`` of the fingerprints wanted: the shingles' sorted hashes, from the text (``d, u, text``) that ``first`` names."""
+    slot = F.pmod(F.xxhash64("d", "u"), F.lit(1 << 20)).cast("int").alias("slot")
+    named = cut(wanted.join(points, "fp").select("fp", "first.d", "first.u"))
+    slots = named.select(slot).distinct()  # spares the shuffle of most other texts; at most 2^20 rows
+    found = texts.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").join(named, ["d", "u"]).groupBy("fp").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array([np.unique(hashes(t, shingle)).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["fp", "set"])
+
+    return found.mapInArrow(run, "fp long, set binary")
+
+
+def similar_edges(points: DataFrame, similarity: float, texts: DataFrame, shingle: int) -> DataFrame:
+    """``a, b``: edges that connect the fingerprints (``fp, first, sig, bands``) whose texts' shingle sets are
+    similar. Members of a band meet; signatures pass what may be similar, the shingle sets themselves
+    decide. Bands with equal members are one."""
     keyed = points.select("fp", F.posexplode("bands").alias("m", "k"))
+    met = cut(dealt(keyed).select(F.array_sort(F.transform("members", lambda m: m["fp"])).alias("own")).distinct().select(F.xxhash64("own").alias("g"), "own"))
+    members = met.select("g", F.size("own").alias("size"), F.explode("own").alias("fp"))
+    sets = cut(shingle_sets(points, members.select("fp").distinct(), texts, shingle))
+    carried = members.join(points.select("fp", "sig").join(sets, "fp"), "fp")
+    gathered = carried.groupBy("g", "size").agg(F.collect_list(F.struct("fp", "sig", "set")).alias("members")).select("members")
 
     def run(batches):
         for b in batches:
             values = b.column(0)
             fps, offsets = values.values.field("fp").to_numpy(), values.offsets.to_numpy()
             sigs = np.frombuffer(b"".join(values.values.field("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
-            near = lambda rest, x, s=sigs: (s[rest] == s[x]).sum(1) >= similarity * SLOTS
+            own = values.values.field("set")
+
+            def near(rest, x, s=sigs, own=own):
+                ok = (s[rest] == s[x]).sum(1) >= MAYBE * similarity * SLOTS
+                a = np.frombuffer(own[int(x)].as_buffer(), np.uint64)
+                ok[ok] = [jaccard(a, np.frombuffer(own[int(y)].as_buffer(), np.uint64)) >= similarity for y in rest[ok]]
+                return ok
+
             edges = [e for lo, hi in zip(offsets, offsets[1:], strict=False) for e in forest(np.arange(lo, hi), near)]
             pairs = fps[np.array(edges, np.int64).reshape(-1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return dealt(keyed, points.select("fp", "sig")).mapInArrow(run, "a long, b long")
+    return gathered.mapInArrow(run, "a long, b long")
 
 
 def dedup(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -169,8 +202,7 @@ def dedup(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: floa
 
     Near copies are texts whose fingerprints lie within the distance. 64 bits within 4 find word
     shingle sets of similarity 0.95 and more; for all from ``similarity`` on, bands of least hashes
-    of the same shingles add candidates, which their signatures verify (similarity less one
-    standard error of 128 slots). Groups are chains of links of both kinds."""
+    of the same shingles add candidates, which the shingle sets, read again, verify. Groups are chains of links of both kinds."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     keys = lambda df: df.withColumn("_d", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("_u", F.xxhash64("text"))
@@ -186,7 +218,7 @@ def dedup(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: floa
 
     marked = cut(keys(docs.select("doc_id", "text")).select("_d", "_u", "text").mapInArrow(run, "d long, u long, fp long, sig binary, bands array<long>"))
     points = cut(marked.groupBy("fp").agg(F.min_by(F.struct("sig", "bands"), F.struct("d", "u")).alias("x"), F.min(F.struct("d", "u")).alias("first")).select("fp", "first", "x.sig", "x.bands"))
-    roots = components(close_edges(points.select("fp"), distance).unionAll(similar_edges(points, similarity - 0.035)))
+    roots = components(close_edges(points.select("fp"), distance).unionAll(similar_edges(points, similarity, keys(docs.select("doc_id", "text")).select(F.col("_d").alias("d"), F.col("_u").alias("u"), "text"), shingle)))
     placed = points.join(roots, points.fp == roots.vertex, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     chosen = cut(placed.select("first.d", "first.u"))
     found = keys(docs).join(chosen, (F.col("_d") == chosen.d) & (F.col("_u") == chosen.u), "left_semi")

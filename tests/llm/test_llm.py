@@ -412,6 +412,20 @@ def test_near_copies_are_dropped_and_others_kept(spark):
     assert simhash.dedup(d.limit(0)).count() == 0
 
 
+def test_near_copies_at_the_threshold_are_told_by_their_shingle_sets(spark):
+    texts, r, want = [], random.Random(8), []
+    for i in range(150):  # pairs on both sides of 0.8: 0.70 to 0.88
+        w = [f"{prose(i, 1)}{k}x{i}" for k in range(300)]
+        v = list(w)
+        for k in r.sample(range(300), r.randint(4, 11)):
+            v[k] = "changed"
+        a, b = ({tuple(x[k : k + 5]) for k in range(296)} for x in (w, v))
+        texts += [" ".join(w), " ".join(v)]
+        want += [2 * i] if len(a & b) / len(a | b) >= 0.8 else [2 * i, 2 * i + 1]
+    assert 30 < len(want) - 150 < 120
+    assert sorted(x.doc_id for x in simhash.dedup(docs(spark, texts)).collect()) == want
+
+
 # 9
 
 
