@@ -122,39 +122,53 @@ def pack(a: np.ndarray, back: np.ndarray, size: np.ndarray, tag: np.ndarray) ->
     return (a << 32) | (back << 25) | (size << 18) | tag
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """``d`` orders documents; ``tag`` tells texts under one doc_id apart."""
-    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.pmod(F.xxhash64("text"), F.lit(1 << _TEXT_BITS)).alias("tag"))
+def _key(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``d`` orders documents; ``tag`` tells texts under one doc_id apart, with ``u``, the text's whole
+    hash, where doc_id is null or holds several texts (its slot is in ``mixed``); 0 elsewhere, which shuffles small."""
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), _id_slot())
+    several = own.join(F.broadcast(mixed.withColumn("_several", F.lit(True))), "_s", "left")  # at most SLOTS rows
+    u = F.when(F.col("doc_id").isNull() | F.col("_several"), F.col("_h")).otherwise(F.lit(0).cast("long"))
+    return several.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.pmod("_h", F.lit(1 << _TEXT_BITS)).alias("tag"), u.alias("u"))
+
+
+def _id_slot() -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("_s")
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """``_s``: slots of the ids that hold several texts."""
+    own = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    return cut(own.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select(_id_slot()).distinct())
 
 
 def _slot() -> F.Column:
-    return F.pmod(F.xxhash64("d", "tag"), F.lit(SLOTS)).cast("int").alias("slot")
+    return F.pmod(F.xxhash64("d", "tag", "u"), F.lit(SLOTS)).cast("int").alias("slot")
 
 
-def _sparse(docs: DataFrame) -> DataFrame:
-    """``h, c, d, p, q, done``: the runs of all texts. ``done``: an equal run earlier in the batch."""
+def _sparse(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``h, c, d, p, q, u, done``: the runs of all texts. ``done``: an equal run earlier in the batch."""
 
     def run(batches):
         def combined(parts: list[tuple]):
-            h, c, q, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((p, d, c, h))
-            h, c, q, d, p = (x[order] for x in (h, c, q, d, p))
+            h, c, q, d, p, u = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((u, p, d, c, h))
+            h, c, q, d, p, u = (x[order] for x in (h, c, q, d, p, u))
             new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            done = (d != d[lead]) | (p != p[lead])
-            h = np.where(done, _mix(d.astype(np.uint64) * _U(_BASE) + p.astype(np.uint64)), h)  # meets nothing, lies anywhere
+            done = (d != d[lead]) | (p != p[lead]) | (u != u[lead])
+            h = np.where(done, _mix(d.astype(np.uint64) * _U(_BASE) + p.astype(np.uint64) + u.astype(np.uint64) * _U(_INVERSE)), h)  # meets nothing, lies anywhere
             for lo in range(0, len(h), 100_000):
                 s = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (h.view(np.int64), c.view(np.int64), d, p, q.view(np.int64), done)], ["h", "c", "d", "p", "q", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (h.view(np.int64), c.view(np.int64), d, p, q.view(np.int64), u, done)], ["h", "c", "d", "p", "q", "u", "done"])
 
         parts, held = [], 0
         for b in batches:
-            for d, tag, t in zip(b.column("d").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for d, tag, u, t in zip(*[b.column(c).to_pylist() for c in ("d", "tag", "u", "text")], strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 if len(raw) < LENGTH:
                     continue
                 h, c, first, a, size, q = runs(raw)
-                parts.append((h, c, q, np.full(len(h), d, np.int64), pack(a, a - first, size, tag)))
+                parts.append((h, c, q, np.full(len(h), d, np.int64), pack(a, a - first, size, tag), np.full(len(h), u, np.int64)))
                 held += len(h)
                 if held >= BATCH:
                     yield from combined(parts)
@@ -162,32 +176,32 @@ def _sparse(docs: DataFrame) -> DataFrame:
         if parts:
             yield from combined(parts)
 
-    return _key(docs).select("d", "tag", "text").mapInArrow(run, "h long, c long, d long, p long, q long, done boolean")
+    return _key(docs, mixed).select("d", "tag", "u", "text").mapInArrow(run, "h long, c long, d long, p long, q long, u long, done boolean")
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """``d, p, kind``: 0 for runs that repeat as a whole; else which cores (1 right, 2 left) are not unique."""
+    """``d, p, u, kind``: 0 for runs that repeat as a whole; else which cores (1 right, 2 left) are not unique."""
     named = rows.repartition("h").withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1 or done")
     first = ~F.col("done") & (F.col("r") == 1)
-    named = named.withColumn("r", F.rank().over(Window.partitionBy("h", "c").orderBy("d", "p"))).withColumn("first", first.cast("int"))
+    named = named.withColumn("r", F.rank().over(Window.partitionBy("h", "c").orderBy("d", "p", "u"))).withColumn("first", first.cast("int"))
     right, left = F.col("q").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("q", 32)
     shared = lambda core: F.sum("first").over(Window.partitionBy("h", core)) > 1
     named = named.withColumn("ql", left).withColumn("qr", right)
     named = named.withColumn("sl", shared("ql")).withColumn("sr", shared("qr"))
-    return named.select("d", "p", F.when(F.col("first") == 0, 0).otherwise(F.col("sr").cast("int") + 2 * F.col("sl").cast("int")).alias("kind"), "first").filter("first = 0 or kind > 0").drop("first")
+    return named.select("d", "p", "u", F.when(F.col("first") == 0, 0).otherwise(F.col("sr").cast("int") + 2 * F.col("sl").cast("int")).alias("kind"), "first").filter("first = 0 or kind > 0").drop("first")
 
 
-def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``name, d, tag, pos`` of the windows whose core is not unique."""
+def _windows(docs: DataFrame, wanted: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``name, d, tag, u, pos`` of the windows whose core is not unique."""
     tag = F.col("p").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)).alias("tag")
-    wanted = wanted.select("d", tag, "p", "kind")
+    wanted = wanted.select("d", tag, "u", "p", "kind")
     slots = wanted.select(_slot()).distinct()
-    lists = wanted.groupBy("d", "tag").agg(F.collect_list("p").alias("ps"), F.collect_list("kind").alias("kinds"))
-    found = _key(docs).withColumn("slot", _slot()).join(F.broadcast(slots), "slot", "left_semi").join(lists, ["d", "tag"])  # at most SLOTS rows
+    lists = wanted.groupBy("d", "tag", "u").agg(F.collect_list("p").alias("ps"), F.collect_list("kind").alias("kinds"))
+    found = _key(docs, mixed).withColumn("slot", _slot()).join(F.broadcast(slots), "slot", "left_semi").join(lists, ["d", "tag", "u"])  # at most SLOTS rows
 
     def run(batches):
         for b in batches:
-            for d, tag, t, ps, kinds in zip(*[b.column(c).to_pylist() for c in ("d", "tag", "text", "ps", "kinds")], strict=True):
+            for d, tag, u, t, ps, kinds in zip(*[b.column(c).to_pylist() for c in ("d", "tag", "u", "text", "ps", "kinds")], strict=True):
                 raw = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
                 p, kind = np.array(ps, np.int64), np.array(kinds)
                 a, back, size = p >> 32, (p >> 25) & 127, (p >> 18) & 127
@@ -198,19 +212,19 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     own = pos[(pos >= lo) & (pos < lo + PIECE)]
                     if len(own):
                         names = Names(raw[lo : lo + PIECE + LENGTH]).at(own - lo, own - lo + LENGTH)
-                        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(own), d, np.int64)), pa.array(np.full(len(own), tag, np.int64)), pa.array(own)], ["name", "d", "tag", "pos"])
+                        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(own), d, np.int64)), pa.array(np.full(len(own), tag, np.int64)), pa.array(np.full(len(own), u, np.int64)), pa.array(own)], ["name", "d", "tag", "u", "pos"])
 
-    return found.select("d", "tag", "text", "ps", "kinds").mapInArrow(run, "name long, d long, tag long, pos long")
+    return found.select("d", "tag", "u", "text", "ps", "kinds").mapInArrow(run, "name long, d long, tag long, u long, pos long")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """``d, tag, begin, end``: ranges of window starts whose string starts earlier too."""
-    ranked = cut(_ranked(_sparse(docs)))
-    names = _windows(docs, ranked.filter("kind > 0"))
-    later = names.withColumn("r", F.rank().over(Window.partitionBy("name").orderBy("d", "pos"))).filter("r > 1").select("d", "tag", F.col("pos").alias("begin"), F.col("pos").alias("end"))
+def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``d, tag, u, begin, end``: ranges of window starts whose string starts earlier too."""
+    ranked = cut(_ranked(_sparse(docs, mixed)))
+    names = _windows(docs, ranked.filter("kind > 0"), mixed)
+    later = names.withColumn("r", F.rank().over(Window.partitionBy("name").orderBy("d", "pos", "tag", "u"))).filter("r > 1").select("d", "tag", "u", F.col("pos").alias("begin"), F.col("pos").alias("end"))
     back, size = F.shiftright("p", 25).bitwiseAND(F.lit(127)), F.shiftright("p", 18).bitwiseAND(F.lit(127))
     start = F.shiftright("p", 32) - back
-    whole = ranked.filter("kind = 0").select("d", F.col("p").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)).alias("tag"), start.alias("begin"), (start + size - 1).alias("end"))
+    whole = ranked.filter("kind = 0").select("d", F.col("p").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)).alias("tag"), "u", start.alias("begin"), (start + size - 1).alias("end"))
     return cut(whole.unionByName(later))
 
 
@@ -227,13 +241,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary: the bytes left) of every document."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
-    ranges = repeated(docs)
+    mixed = _mixed(docs)
+    ranges = repeated(docs, mixed)
     slots = cut(ranges.select(_slot()).distinct())
-    keyed = _key(docs).withColumn("slot", _slot())
+    keyed = _key(docs, mixed).withColumn("slot", _slot())
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     whole = keyed.join(F.broadcast(slots), "slot", "left_anti").select("doc_id", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"))
-    lists = ranges.groupBy("d", "tag").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    found = keyed.join(F.broadcast(slots), "slot", "left_semi").join(lists, ["d", "tag"], "left").select("doc_id", "text", "begins", "ends")  # at most SLOTS rows
+    lists = ranges.groupBy("d", "tag", "u").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    found = keyed.join(F.broadcast(slots), "slot", "left_semi").join(lists, ["d", "tag", "u"], "left").select("doc_id", "text", "begins", "ends")  # at most SLOTS rows
 
     def run(batches):
         for b in batches:

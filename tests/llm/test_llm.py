@@ -141,6 +141,19 @@ def test_suffix_dedup_repeated_rows_and_empty_tables(spark):
     assert suffix_dedup.report(twice.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_suffix_dedup_tells_texts_under_one_id_apart(spark, monkeypatch, doc_id):
+    monkeypatch.setattr(suffix_dedup, "_TEXT_BITS", 1)  # tags clash as they do among many thousand texts
+    shared = prose(1, 40)
+    texts = [prose(10 + i, 12 + i) + (shared if i % 3 == 0 else "") for i in range(30)]
+    d = spark.createDataFrame([(doc_id, t, "en", "s", len(t)) for t in texts], DOC)
+    got = suffix_dedup.dedup(d.repartition(3)).collect()
+    kept = Counter(bytes(x.kept).decode() for x in got)
+    assert all(x.n_removed + len(x.kept) == x.n_bytes and x.n_removed in (0, *range(len(shared), len(shared) + 9)) for x in got)
+    assert sum(shared in k for k in kept.elements()) == 1 and sum(x.n_removed > 0 for x in got) == 9
+    assert all(kept[t] == 1 for i, t in enumerate(texts) if i % 3)
+
+
 # 3
 
 
