@@ -104,8 +104,8 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     found = []
     if "(" in text or "[" in text:
         found += [(*m.span(), "email") for m in _LOOSE["email"].finditer(text)] if re.search(r"[\[(](?:at|AT)[\])]", text) else []
-    if _DIGITS.search(text):
-        for kind in ("phone", "ssn", "secret"):
+    for kind in ("phone", "ssn", "secret"):
+        if kind == "secret" or _DIGITS.search(text):  # a secret may have none
             found += [(*m.span(), kind) for m in _LOOSE[kind].finditer(text)]
     out, past, k = [], 0, 0
     for a, b, kind in sorted(found, key=lambda s: (s[0], KINDS.index(s[2]))):

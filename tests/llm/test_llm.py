@@ -476,6 +476,13 @@ def test_bpe_heap_and_query_agree(encoder):
 # 10
 
 
+def test_secrets_without_digits_are_found_alike():
+    secret = "sk-" + "abcdefghijklmnopqrst"
+    for rest in ("", " in room 7"):
+        text = f"the key is {secret}{rest}"
+        assert [text[a:b] for a, b, k in pii.candidates(text, pii.base_spans(text)) if k == "secret"] == [secret]
+
+
 PII = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
