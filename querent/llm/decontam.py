@@ -7,7 +7,7 @@
    times D^-1 Omega, so the randomised (Nystrom) decomposition of Y and Omega' Z gives the leading
    right singular vectors of the TF-IDF matrix.
 3. A pass folds the windows of every text into that space; items whose cosine reaches ``COSINE``
-   are candidates. A candidate is confirmed on all words: longest common subsequence over the
+   are candidates, and so are those that the window holds by ``HELD``. A candidate is confirmed on all words: longest common subsequence over the
    item's words, and the same for the item's answer (its last sentence). Paraphrases that reword
    little or insert words stay above the thresholds; unrelated passages share only common words.
 
@@ -16,6 +16,9 @@ The vocabulary is the benchmark's: its size follows the benchmark, not the corpu
 of its class; longer items are searched by their pieces of 112 words. A window with fewer than
 ``SHARED`` weighted words can't hold half an item's rarest words and is not folded in.
 
+Items that stand in a text word for word are found apart from the space, by one of their words kept;
+their own words are the window, of cosine 1.
+
 Cases: null or blank texts and items match nothing; repeated items and documents match alike, each
 row for itself; an empty benchmark or corpus gives no matches; ties keep the smaller item id; items
 under ``LEAST`` words are too short to tell from chance and match nothing.
@@ -37,6 +40,8 @@ BLOCK, RANK, EXTRA = 16, 256, 8
 SIZES = (2, 4, 8)
 COMMON, OWN, SHARED = 0.005, 6, 3
 COSINE = 0.5
+#: Or the window's part along the item is as long as so much of the item: other words in it don't count against it.
+HELD = 0.75
 #: Shares of the item's words, and of its answer's, in the longest common subsequence.
 WHOLE, PARTLY, ANSWER = 0.75, 0.5, 0.8
 LEAST = 6
@@ -200,15 +205,48 @@ def windows(ids: np.ndarray, block: np.ndarray, size: int, n: int) -> tuple[np.n
     return a[first], b[first], np.maximum(first + 1 - size, 0), last + 1
 
 
+def _anchor(lookup: Lookup, own: list[int], weight: np.ndarray) -> tuple[int, int]:
+    """The word kept that weighs most, and its first place in the piece."""
+    ids, at = lookup.find(np.array(own, np.uint64))
+    best = int(np.argmax(weight[ids]))
+    return int(ids[best]), int(at[best])
+
+
 def finder(items: Items, lookup: Lookup, vectors: np.ndarray):
     """A function from texts to ``{(text's index, item_id): (lcs share, answer share, cosine)}``."""
     sums = np.stack([vectors[lookup.find(np.array(own, np.uint64))[0]].sum(0) for own in items.words])
-    sums = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    length = np.linalg.norm(sums, axis=1)
+    sums = (sums / np.maximum(length[:, None], 1e-9)).astype(np.float32)
+    least = np.maximum(HELD * length, 1e-6).astype(np.float32)
+    # verbatim pieces are found by the word kept that is rarest by weight, whatever their cosine
+    weight = np.linalg.norm(vectors, axis=1)
+    anchor_id, anchor_at = (np.array(x) for x in zip(*[_anchor(lookup, own, weight) for own in items.words], strict=True))
+    by_id = np.argsort(anchor_id, kind="stable")
+    sizes = np.array([len(own) for own in items.words])
+    ends = np.array([[own[0], own[-1]] for own in items.words], np.uint64)
+    wholes = [np.array(own, np.uint64) for own in items.words]
+
+    def verbatim(names: np.ndarray, bounds: np.ndarray, ids: np.ndarray, at: np.ndarray):
+        """Texts and pieces whose words stand in the text one after the other."""
+        low, high = np.searchsorted(anchor_id[by_id], ids), np.searchsorted(anchor_id[by_id], ids, "right")
+        n = high - low
+        k = by_id[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        begin = np.repeat(at, n) - anchor_at[k]
+        end = begin + sizes[k]
+        j = np.searchsorted(bounds, np.repeat(at, n), "right") - 1
+        ok = (begin >= bounds[j]) & (end <= bounds[j + 1])
+        k, begin, end, j = k[ok], begin[ok], end[ok], j[ok]
+        ok = (names[begin] == ends[k, 0]) & (names[end - 1] == ends[k, 1])
+        for x, lo, hi, text in zip(k[ok].tolist(), begin[ok].tolist(), end[ok].tolist(), j[ok].tolist(), strict=True):
+            if np.array_equal(names[lo:hi], wholes[x]):
+                yield text, items.ids[x], 1.0, lcs(items.answers[x], items.words[x]) / len(items.answers[x]), 1.0
+
     of = {s: own for s in SIZES if len(own := np.array([k for k, x in enumerate(items.size) if x == s]))}
 
     def confirmed(names: np.ndarray, bounds: np.ndarray):
         """Confirmed windows of some texts. Blocks of different texts lie apart."""
         ids, at = lookup.find(names)
+        yield from verbatim(names, bounds, ids, at)
         count = -(-np.diff(bounds) // BLOCK) + SIZES[-1]
         starts, n = np.cumsum(count) - count, int(count.sum())
         text = np.searchsorted(bounds, at, "right") - 1
@@ -220,7 +258,7 @@ def finder(items: Items, lookup: Lookup, vectors: np.ndarray):
                 window = fold(vectors, ids, a[s], b[s])
                 norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                 cos = window @ sums[own].T
-                rows, cols = np.nonzero(cos >= np.maximum(COSINE * norm, 1e-6)[:, None])
+                rows, cols = np.nonzero(cos >= np.minimum(np.maximum(COSINE * norm, 1e-6)[:, None], least[own]))
                 for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
                     k, j = int(own[c]), int(text[a[part + r]])
                     lo, hi = max(0, int(low[part + r] - starts[j])), int(high[part + r] - starts[j])

@@ -258,6 +258,15 @@ def test_decontamination_against_substrings(spark, sf):
     assert not {i for i, _ in found} & clean
 
 
+def test_decontamination_finds_items_in_lists(spark):
+    items = [prose(700 + i, 17 + i % 14) for i in range(200)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    lists = [[(10 * i + 37 * k) % 200 for k in range(10)] for i in range(20)]
+    d = docs(spark, [" ".join(items[k] for k in own) for own in lists] + [prose(2000 + i, 300) for i in range(100)])
+    want = {(i, k) for i, own in enumerate(lists) for k in own}
+    assert {(x.doc_id, x.item_id) for x in decontam.matches(d, bench).collect()} == want
+
+
 def test_decontamination_edges(spark):
     d, b = docs(spark, EDGE), spark.createDataFrame([], "item_id long, text string")
     assert decontam.matches(d, b).count() == 0 and decontam.clean(d, b).count() == len(EDGE)
