@@ -1,7 +1,7 @@
 """Copies among images by local descriptors.
 
 Each image is searched for FAST corners on several scales; a corner's patch is turned by its
-intensity centroid and binary tests in the turned patch make a 256-bit descriptor. Descriptors go
+intensity centroid and binary tests in the turned patch make a 128-bit descriptor. Descriptors go
 to Hamming tables: those that agree on a table's bits meet in a bucket. Matching descriptors
 (Hamming distance at most ``NEAR``) vote, by the similarity transform they imply, and images whose
 votes agree on one transform are copies, cropped, scaled, turned or edited alike.
@@ -13,8 +13,12 @@ pair of parts that needs it, not to each pair of images, and a verified group se
 and the number of its links. Components of these: a row per image with its class, and how many verified
 links it has, over all candidates.
 
+Random likeness of two patches grows with the square of the images, at a rate set by ``TABLE_BITS``;
+what it costs is verification, never a result.
+
 Cases: an image that can't be decoded, is null, or has under ``LEAST`` corners can only equal others
-exactly; nulls in ids are dropped; repeated rows share a class; an empty table gives no rows.
+exactly; nulls in ids are dropped; repeated rows share a class, and of rows of one
+id each keeps its own image's class; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,20 +35,24 @@ from querent.llm.common import cut, ship, small_batches
 from querent.llm.components import components
 from querent.llm.simhash import dealt
 
-SCALES, CORNERS, RADIUS = (1.0, 0.75, 0.5625), 16, 9
+#: Scales are close to each other, so that descriptors of a copy of any size differ in few bits and keys can be long.
+SCALES, CORNERS = tuple(1.118**-k for k in range(7)), 14
+#: Half a patch's side, and what a turned patch and its smoothing reach.
+PATCH, RADIUS = 9, 14
 THRESHOLD, ARC = 12, 9
-BITS, TABLES, TABLE_BITS = 256, 8, 48
-#: Hamming distance of matching descriptors; matches that agree on a transform; corners needed.
-NEAR, AGREE, LEAST = 48, 9, 6
+BITS, TABLES, TABLE_BITS = 128, 2, 43
+#: Hamming distance of matching descriptors; matching places that agree on a transform; corners needed; a place's side.
+NEAR, AGREE, LEAST, PLACE = 24, 8, 6, 6
 #: Images are in ``CELLS`` parts, or more of ``CELL`` images; pairs of two parts are verified together, packed by ``PAIRS``.
-CELLS, CELL, PAIRS = 8, 10_000, 200_000
+CELLS, CELL, PAIRS = 4, 15_000, 200_000
 
 _CIRCLE = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 _RNG = np.random.default_rng(20)
-_TESTS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (BITS, 4))), -6, 6)
-_CHOSEN = np.stack([_RNG.choice(BITS, TABLE_BITS, replace=False) for _ in range(TABLES)])
-_YY, _XX = np.mgrid[-6:7, -6:7]
-_DISC = (_XX**2 + _YY**2) <= 36
+_TESTS = np.clip(np.round(_RNG.normal(0, PATCH / 1.8, (BITS, 4))), -PATCH, PATCH)
+_SHUFFLED = np.concatenate([_RNG.permutation(BITS) for _ in range(-(-TABLES * TABLE_BITS // BITS))])
+_CHOSEN = np.stack([_SHUFFLED[t * TABLE_BITS : (t + 1) * TABLE_BITS] for t in range(TABLES)])  # disjoint while bits last
+_YY, _XX = np.mgrid[-PATCH : PATCH + 1, -PATCH : PATCH + 1]
+_DISC = (_XX**2 + _YY**2) <= PATCH**2
 
 
 def encode(image: np.ndarray) -> bytes:
@@ -63,19 +71,18 @@ def decode(data: bytes | None) -> np.ndarray | None:
 
 
 def patterns(side: int, seed: int = 3) -> np.ndarray:
-    """64 fixed patterns: noise smoothed to grains of a few pixels."""
-    noise = np.random.default_rng(seed).standard_normal((64, side, side))
-    for _ in range(2):
-        noise = sum(np.roll(noise, k, 1) for k in (-2, -1, 0, 1, 2))
-        noise = sum(np.roll(noise, k, 2) for k in (-2, -1, 0, 1, 2))
+    """64 fixed patterns: noise with the 1/f spectrum of natural images, so that every scale has corners."""
+    f = np.hypot(*np.meshgrid(np.fft.fftfreq(side), np.fft.fftfreq(side)))
+    weight = np.where(f > 0, np.exp(-((f / 0.22) ** 4)) / np.maximum(f, 1 / side), 0)
+    noise = np.fft.ifft2(np.fft.fft2(np.random.default_rng(seed).standard_normal((64, side, side))) * weight).real
     return noise / noise.std((1, 2), keepdims=True)
 
 
-_PATTERNS = patterns(64)
+_PATTERNS = patterns(96)
 
 
 def render(vector: list[float] | None) -> np.ndarray:
-    """A grey image of a vector: its values weigh 64 fixed grainy patterns, so that images have
+    """A grey image of a vector: its values weigh 64 fixed patterns, so that images have
     corners of their own and near vectors have near images. A null or zero vector is plain grey."""
     v = np.zeros(64)
     if vector is not None:
@@ -85,15 +92,25 @@ def render(vector: list[float] | None) -> np.ndarray:
     return np.round(128 + 50 * np.tensordot(v, _PATTERNS, 1)).clip(0, 255).astype(np.uint8)
 
 
+def _sampled(im: np.ndarray, scale: float, dy: float, dx: float) -> np.ndarray:
+    """Bilinear samples, each moved by a part of a target pixel."""
+
+    def along(side: int, move: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(max(1, int(side * scale))) + 0.5 + move) / scale - 0.5, 0, side - 1)
+        low = at.astype(int)
+        return low, np.minimum(low + 1, side - 1), (at - low).astype(np.float32)
+
+    (y0, y1, fy), (x0, x1, fx) = along(im.shape[0], dy), along(im.shape[1], dx)
+    rows = im[y0] * (1 - fy[:, None]) + im[y1] * fy[:, None]
+    return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+
+
 def resize(image: np.ndarray, scale: float) -> np.ndarray:
-    """Bilinear."""
-    h, w = max(1, int(image.shape[0] * scale)), max(1, int(image.shape[1] * scale))
-    y, x = np.minimum(np.arange(h) / scale, image.shape[0] - 1), np.minimum(np.arange(w) / scale, image.shape[1] - 1)
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
-    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    """Bilinear; a pixel of a smaller image is the mean of four samples."""
     im = image.astype(np.float32)
-    return (im[y0][:, x0] * (1 - fy) + im[y1][:, x0] * fy) * (1 - fx) + (im[y0][:, x1] * (1 - fy) + im[y1][:, x1] * fy) * fx
+    if scale >= 1:
+        return _sampled(im, scale, 0, 0)
+    return sum(_sampled(im, scale, dy, dx) for dy in (-0.25, 0.25) for dx in (-0.25, 0.25)) / 4
 
 
 def corners(im: np.ndarray) -> np.ndarray:
@@ -128,7 +145,8 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         at = corners(im)
         if not len(at):
             continue
-        smooth = sum(np.roll(np.roll(im, dy, 0), dx, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) / 9
+        smooth = sum(np.roll(im, d, 0) for d in (-1, 0, 1))
+        smooth = sum(np.roll(smooth, d, 1) for d in (-1, 0, 1)) / 9
         patch = smooth[at[:, 0, None, None] + _YY, at[:, 1, None, None] + _XX] * _DISC
         angle = np.arctan2((patch * _YY).sum((1, 2)), (patch * _XX).sum((1, 2)))
         c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
@@ -154,14 +172,16 @@ def table_keys(codes: np.ndarray) -> np.ndarray:
 
 
 def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """Matches of two images that agree on one similarity transform; 0 if under ``AGREE`` do."""
+    """Places of two images that match and agree on one similarity transform; 0 if under ``AGREE`` match."""
     (pa_, ca), (pb, cb) = a, b
     if len(ca) < LEAST or len(cb) < LEAST:
         return 0
-    distance = np.bitwise_count(ca[:, None] ^ cb[None]).sum(2, dtype=int)
-    i, j = np.nonzero((distance <= NEAR) & (distance == distance.min(1, keepdims=True)))
-    if len(i) < AGREE:
+    wide = [np.ascontiguousarray(c).view(np.uint64) for c in (ca, cb)]
+    distance = sum(np.bitwise_count(a[:, None] ^ b[None]) for a, b in zip(wide[0].T, wide[1].T, strict=True))
+    near = distance <= NEAR
+    if near.any(1).sum() < AGREE:
         return 0
+    i, j = np.nonzero(near & (distance == distance.min(1, keepdims=True)))
     scale = pb[j, 2] / pa_[i, 2]
     turn = pb[j, 3] - pa_[i, 3]
     c, s = scale * np.cos(turn), scale * np.sin(turn)
@@ -170,9 +190,11 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     x = c[:, None] * pa_[i, 0] - s[:, None] * pa_[i, 1] + tx[:, None]
     y = s[:, None] * pa_[i, 0] + c[:, None] * pa_[i, 1] + ty[:, None]
     inside = np.hypot(x - pb[j, 0], y - pb[j, 1]) <= 3
+    # corners of several scales at one place count once: a likeness of one place is not a copy
+    places = [np.unique(p[m, :2] // PLACE @ (1, 10_000), return_inverse=True)[1] for p, m in ((pa_, i), (pb, j))]
     best = 0
     for k in np.flatnonzero(inside.sum(1) >= AGREE):
-        best = max(best, min(len(set(i[inside[k]].tolist())), len(set(j[inside[k]].tolist()))))
+        best = max(best, min(len(set(x[inside[k]].tolist())) for x in places))
     return best
 
 
@@ -219,8 +241,9 @@ def copies(images: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("pixels"), pa.array([_pack(p) for p, _ in made], pa.binary()), pa.array([c.tobytes() for _, c in made], pa.binary())], ["image_id", "pixels", "points", "codes"])
 
     digest = F.unhex(F.sha2(F.coalesce("image", F.lit(b"")), 256)).alias("pixels")
-    own = cut(images.filter("image_id is not null").select("image_id", digest, "image").mapInArrow(run, "image_id long, pixels binary, points binary, codes binary"))
-    described = cut(own.groupBy("pixels").agg(F.min_by(F.struct("points", "codes"), "image_id").alias("x"), F.min("image_id").alias("v")).select("v", "x.points", "x.codes"))
+    own = images.filter("image_id is not null").select("image_id", digest, "image")
+    made = own.mapInArrow(run, "image_id long, pixels binary, points binary, codes binary")
+    described = cut(made.groupBy("pixels").agg(F.min_by(F.struct("points", "codes"), "image_id").alias("x"), F.min("image_id").alias("v")).select("pixels", "v", "x.points", "x.codes"))
 
     def keys(batches):
         for b in batches:
@@ -265,7 +288,13 @@ def copies(images: DataFrame) -> DataFrame:
 
     def verify(batches):
         def linked(pairs: list[bytes], own: dict):
-            found = [(a, b) for a, b in np.unique(np.frombuffer(b"".join(pairs), np.int64).reshape(-1, 2), axis=0).tolist() if consensus(own[min(a, b)], own[max(a, b)]) >= AGREE]
+            found, first, last = [], None, None
+            for a, b in np.unique(np.frombuffer(b"".join(pairs), np.int64).reshape(-1, 2), axis=0).tolist():
+                if a != last:  # rows come by their first image, which is unpacked once
+                    first, last = _unpack(*own[a]), a
+                x, y = first, _unpack(*own[b])
+                if (consensus(x, y) if a < b else consensus(y, x)) >= AGREE:
+                    found.append((a, b))
             degree, to, edges = Counter(v for e in found for v in e), {}, []
 
             def top(v: int) -> int:
@@ -288,20 +317,19 @@ def copies(images: DataFrame) -> DataFrame:
                         yield from linked(pairs, own)
                     at, own, pairs = r["cell"], {}, []
                 if r["pairs"] is None:
-                    own[r["v"]] = _unpack(r["points"], r["codes"])
+                    own[r["v"]] = r["points"], r["codes"]
                 else:
                     pairs.append(r["pairs"])
         if pairs:
             yield from linked(pairs, own)
 
     pairs = cut(met.mapInArrow(pair, "cell long, pairs binary"))
-    sides = pairs.mapInArrow(members, "cell long, v long").distinct().join(described, "v").select("cell", "v", "points", "codes", F.lit(None).cast("binary").alias("pairs"))
+    sides = pairs.mapInArrow(members, "cell long, v long").distinct().join(described.drop("pixels"), "v").select("cell", "v", "points", "codes", F.lit(None).cast("binary").alias("pairs"))
     lists = pairs.select("cell", F.lit(None).cast("long").alias("v"), F.lit(None).cast("binary").alias("points"), F.lit(None).cast("binary").alias("codes"), "pairs")
     links = cut(sides.unionAll(lists).repartition("cell").sortWithinPartitions("cell", F.col("pairs").isNotNull()).mapInArrow(verify, "a long, b long, n long"))
     roots = components(links.select("a", "b"))
     degree = links.filter("n > 0").groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("n_links"))
-    placed = described.select("v", (F.length("codes") / (BITS // 8)).cast("long").alias("n_corners")).join(roots, F.col("v") == F.col("vertex"), "left").join(degree, "v", "left").select("v", "n_corners", F.coalesce("root", "v").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = cut(placed)
-    named = placed.join(placed.groupBy("root").agg(F.min("v").alias("class_id")), "root")
-    lead = own.groupBy("pixels").agg(F.min("image_id").alias("v")).join(named, "v").select("pixels", "class_id", "n_links", "n_corners")
-    return own.select("image_id", "pixels").join(lead, "pixels").select("image_id", "class_id", "n_links", "n_corners")
+    placed = described.select("pixels", "v", (F.length("codes") / (BITS // 8)).cast("long").alias("n_corners")).join(roots, F.col("v") == F.col("vertex"), "left").join(degree, "v", "left")
+    placed = cut(placed.select("pixels", "v", "n_corners", F.coalesce("root", "v").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = placed.join(placed.groupBy("root").agg(F.min("v").alias("class_id")), "root").select("pixels", "class_id", "n_links", "n_corners")
+    return own.select("image_id", "pixels").join(named, "pixels").select("image_id", "class_id", "n_links", "n_corners")
