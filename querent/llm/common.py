@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from querent.session import ship
 
-__all__ = ["cut", "read", "shared_folder", "ship", "small_batches"]
+__all__ = ["cut", "read", "release", "shared_folder", "ship", "small_batches"]
 
 #: Rows of one Arrow batch sent to Python; whole documents can be long, so batches stay short.
 BATCH_ROWS = 500
@@ -37,3 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds; long texts make default batches large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffles, and checkpoints where the session cleans them, of frames that
+    no variable holds any more. Without this they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import cut, ship, small_batches
+from querent.llm.common import cut, release, ship, small_batches
 from querent.llm.components import components
 from querent.llm.simhash import dealt
 
@@ -40,11 +40,11 @@ SCALES, CORNERS = tuple(1.118**-k for k in range(7)), 14
 #: Half a patch's side, and what a turned patch and its smoothing reach.
 PATCH, RADIUS = 9, 14
 THRESHOLD, ARC = 12, 9
-BITS, TABLES, TABLE_BITS = 128, 2, 43
+BITS, TABLES, TABLE_BITS = 128, 2, 45
 #: Hamming distance of matching descriptors; matching places that agree on a transform; corners needed; a place's side.
 NEAR, AGREE, LEAST, PLACE = 24, 8, 6, 6
 #: Images are in ``CELLS`` parts, or more of ``CELL`` images; pairs of two parts are verified together, packed by ``PAIRS``.
-CELLS, CELL, PAIRS = 4, 15_000, 200_000
+CELLS, CELL, PAIRS = 3, 20_000, 200_000
 
 _CIRCLE = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 _RNG = np.random.default_rng(20)
@@ -286,16 +286,29 @@ def copies(images: DataFrame) -> DataFrame:
                 own = np.unique(np.frombuffer(x, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), cell)), pa.array(own)], ["cell", "v"])
 
+    def maybe(codes: np.ndarray, others: list[int], own: dict) -> list[int]:
+        """Images of which enough descriptors have a match; most candidates that chance made end here."""
+        many = [np.frombuffer(own[b][1], np.uint64).reshape(-1, BITS // 64) for b in others]
+        starts = np.cumsum([0, *[len(m) for m in many[:-1]]])
+        distance = sum(np.bitwise_count(x[:, None] ^ y[None]) for x, y in zip(np.ascontiguousarray(codes).view(np.uint64).T, np.concatenate(many).T, strict=True))
+        hit = np.logical_or.reduceat(distance <= NEAR, starts, axis=1).sum(0) >= AGREE
+        return [b for b, h in zip(others, hit.tolist(), strict=True) if h]
+
     def verify(batches):
         def linked(pairs: list[bytes], own: dict):
-            found, first, last = [], None, None
-            for a, b in np.unique(np.frombuffer(b"".join(pairs), np.int64).reshape(-1, 2), axis=0).tolist():
-                if a != last:  # rows come by their first image, which is unpacked once
-                    first, last = _unpack(*own[a]), a
-                x, y = first, _unpack(*own[b])
-                if (consensus(x, y) if a < b else consensus(y, x)) >= AGREE:
-                    found.append((a, b))
-            degree, to, edges = Counter(v for e in found for v in e), {}, []
+            both = np.unique(np.frombuffer(b"".join(pairs), np.int64).reshape(-1, 2), axis=0)
+            edges = np.flatnonzero(np.r_[True, both[1:, 0] != both[:-1, 0], True])
+            found = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                a = int(both[lo, 0])
+                x = _unpack(*own[a])
+                for k in range(lo, hi, 64):
+                    others = both[k : min(hi, k + 64), 1].tolist()
+                    for b in maybe(x[1], others, own):
+                        y = _unpack(*own[b])
+                        if (consensus(x, y) if a < b else consensus(y, x)) >= AGREE:
+                            found.append((a, b))
+            degree, to, tree = Counter(v for e in found for v in e), {}, []
 
             def top(v: int) -> int:
                 while (up := to.get(v, v)) != v:
@@ -305,8 +318,8 @@ def copies(images: DataFrame) -> DataFrame:
             for a, b in found:
                 if (x := top(a)) != (y := top(b)):
                     to[x] = y
-                    edges.append((a, b, 0))
-            rows = edges + [(v, v, n) for v, n in degree.items()]
+                    tree.append((a, b, 0))
+            rows = tree + [(v, v, n) for v, n in degree.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "n"])
 
         at, own, pairs = None, {}, []
@@ -324,6 +337,8 @@ def copies(images: DataFrame) -> DataFrame:
             yield from linked(pairs, own)
 
     pairs = cut(met.mapInArrow(pair, "cell long, pairs binary"))
+    del met, keyed, made
+    release(spark)  # the tables' rows are read no more
     sides = pairs.mapInArrow(members, "cell long, v long").distinct().join(described.drop("pixels"), "v").select("cell", "v", "points", "codes", F.lit(None).cast("binary").alias("pairs"))
     lists = pairs.select("cell", F.lit(None).cast("long").alias("v"), F.lit(None).cast("binary").alias("points"), F.lit(None).cast("binary").alias("codes"), "pairs")
     links = cut(sides.unionAll(lists).repartition("cell").sortWithinPartitions("cell", F.col("pairs").isNotNull()).mapInArrow(verify, "a long, b long, n long"))

@@ -100,7 +100,7 @@ def linked_by_consensus(images):
 def test_media_recall_against_consensus_of_all_pairs(spark):
     r = np.random.default_rng(21)
     images = []
-    for _ in range(24):
+    for _ in range(16):
         im = media.render(r.standard_normal(64).tolist())
         noisy = [np.clip(im + r.normal(0, s, im.shape), 0, 255).astype(np.uint8) for s in (3, 10)]
         images += [im, im[9:, 5:], np.rot90(im).copy(), im[14:-14, 14:-14], *noisy, *[media.resize(im, s).astype(np.uint8) for s in (0.6, 0.75, 0.9, 1.1, 1.33, 1.6)]]
