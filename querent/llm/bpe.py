@@ -6,10 +6,16 @@ recursive query joins neighbours with the merge table and contracts, in every wo
 leftmost pair of least rank, until no pair is left. Decoding joins ids with the token table and
 aggregates their bytes in order of position.
 
+A word of over ``SHORT_WORD`` bytes (a run of blanks, unspaced script) goes through a recursive query
+that contracts all occurrences of its least pair in a round, from the left, where that provably is
+what one after the other would do: if no token that such a contraction could lead to has a lesser
+rank. Other pairs go one a round. Rounds are run some at a time, so that memory stays bounded.
+
 Cases: null text is the empty text (no ids, empty bytes); repeated rows are encoded alike; ties in
-rank go to the leftmost pair; the word cache is bounded by ``CACHE_WORDS``, and only saves work. A
-word over ``LONG_WORD`` bytes (a run of blanks, unspaced script) would need one round of the query
-for each of its merges, so a heap applies the same law to it in n log n steps.
+rank go to the leftmost pair; the word cache is bounded by ``CACHE_WORDS``, and only saves work; an
+empty table gives no rows; very long texts are read whole, and a single word of over ``LONG_WORD``
+bytes, which would need thousands of rounds over all of its bytes, is coded by a heap under the same law;
+columns named like the output are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -29,10 +35,10 @@ from querent.llm.common import ship, small_batches
 
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 200_000
-#: Bytes of a word above which a heap replaces the recursive query.
-LONG_WORD = 400
-#: Bytes of new words in one recursive query, and ids in one decoding query.
-SEED_BYTES, DECODE_IDS = 400_000, 400_000
+#: Bytes of a word up to which one pair a round is contracted, and above which a heap replaces the queries.
+SHORT_WORD, LONG_WORD = 64, 20_000
+#: Bytes of new words in one recursive query, rows of all rounds in one sweep, and ids in one decoding query.
+SEED_BYTES, SWEEP_ROWS, DECODE_IDS = 200_000, 2_000_000, 400_000
 
 CONTRACT = """
 WITH RECURSIVE state(w, round, pos, id, npos, nid) AS (
@@ -54,6 +60,26 @@ WITH RECURSIVE state(w, round, pos, id, npos, nid) AS (
 SELECT s.w, s.id FROM state s JOIN last l ON s.w = l.w AND s.round = l.round ORDER BY s.w, s.pos
 """
 
+SWEEP = """
+WITH RECURSIVE state(w, round, pos, id, npos, nid) AS (
+  SELECT w, 0, pos, id, lead(pos) OVER (PARTITION BY w ORDER BY pos), lead(id) OVER (PARTITION BY w ORDER BY pos) FROM seed
+  UNION ALL
+  (WITH pair AS (
+     SELECT s.w, s.pos, s.npos, m.merged, m.safe FROM state s JOIN merges m ON m.l = s.id AND m.r = s.nid WHERE s.round < $rounds),
+   best AS (SELECT w, min(merged) AS merged, min(merged::BIGINT << 32 | pos) & 4294967295 AS pos FROM pair GROUP BY w),
+   chosen AS (
+     SELECT p.*, p.pos IS DISTINCT FROM lag(p.npos) OVER (PARTITION BY p.w ORDER BY p.pos) AS opens
+     FROM pair p JOIN best b ON b.w = p.w AND b.merged = p.merged AND (p.safe OR b.pos = p.pos)),
+   runs AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY w ORDER BY pos) AS run FROM chosen),
+   hit AS (SELECT w, pos, npos AS gone, merged FROM runs QUALIFY row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 1),
+   rest AS (
+     SELECT s.w, s.round, s.pos, coalesce(h.merged, s.id) AS id
+     FROM state s SEMI JOIN best b ON b.w = s.w LEFT JOIN hit h ON h.w = s.w AND h.pos = s.pos ANTI JOIN hit g ON g.w = s.w AND g.gone = s.pos)
+   SELECT w, round + 1, pos, id, lead(pos) OVER (PARTITION BY w ORDER BY pos), lead(id) OVER (PARTITION BY w ORDER BY pos) FROM rest)
+), last AS (SELECT w, max(round) AS round FROM state GROUP BY w)
+SELECT s.w, s.pos, s.id, s.round FROM state s JOIN last l ON s.w = l.w AND s.round = l.round
+"""
+
 #: Token bytes stand in the table as Latin-1 characters, so that they join as text.
 DECODE = """
 SELECT i.d, array_to_string(list(t.s ORDER BY i.pos), '') AS s
@@ -90,9 +116,12 @@ class Codec:
         self.split = splitter(pattern)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.cache: dict[str, bytes] = {}
-        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False, "temp_directory": ""})
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        merges = pa.table([pa.array(c, pa.int32()) for c in zip(*rows, strict=True)], ["l", "r", "merged"])
+        left, right, merged = (np.array(c, np.int32) for c in zip(*rows, strict=True))
+        # a part that is merged later than a whole it is part of: contracting it could lead to that lesser rank
+        late = np.concatenate([left[left > merged], right[right > merged]])
+        merges = pa.table({"l": left, "r": right, "merged": merged, "safe": ~np.isin(merged, late)})
         tokens = pa.table([pa.array(list(self.ranks.values()), pa.int32()), pa.array([t.decode("latin-1") for t in self.ranks])], ["id", "s"])
         self.sql.execute("CREATE TABLE merges AS SELECT * FROM merges").execute("CREATE TABLE tokens AS SELECT * FROM tokens")
 
@@ -110,6 +139,26 @@ class Codec:
         packed = out["id"].astype("<u4").tobytes()
         return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def sweep(self, words: list[bytes]) -> list[bytes]:
+        """The same of longer words, some rounds at a time."""
+        lengths = np.array([len(w) for w in words])
+        w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        pos = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        state, done = (w, pos, self.byte_id[np.frombuffer(b"".join(words), np.uint8)]), []
+        while len(state[0]):
+            rounds = max(1, SWEEP_ROWS // len(state[0]))
+            self.sql.register("seed", pa.table(dict(zip(("w", "pos", "id"), state, strict=True))))
+            out = self.sql.execute(SWEEP, {"rounds": rounds}).fetchnumpy()
+            self.sql.unregister("seed")
+            ended = out["round"] < rounds
+            done.append([out[c][ended] for c in ("w", "pos", "id")])
+            state = tuple(np.asarray(out[c][~ended], np.int32) for c in ("w", "pos", "id"))
+        w, pos, ids = (np.concatenate(c) for c in zip(*done, strict=True))
+        order = np.lexsort((pos, w))
+        ends = np.cumsum(np.bincount(w, minlength=len(words))) * 4
+        packed = ids[order].astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
     def contract_long(self, word: bytes) -> bytes:
         """The same law on one long word: a heap of (rank, position) with links between neighbours."""
         ids, ranks, inside = [bytes([b]) for b in word], self.ranks, True
@@ -134,18 +183,19 @@ class Codec:
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that the cache lacks; the cache keeps them while it has room."""
         known: dict[str, bytes] = {}
-        batch, size = [], 0
-        for w in [*words, None]:
-            raw = w.encode("utf-8", "surrogatepass") if w is not None else b""
-            if w is not None and len(raw) > LONG_WORD:
-                known[w] = self.contract_long(raw)
-                continue
-            if batch and (w is None or size + len(raw) > SEED_BYTES):
-                known.update(zip([x for x, _ in batch], self.contract([r for _, r in batch]), strict=True))
-                batch, size = [], 0
-            if w is not None:
-                batch.append((w, raw))
-                size += len(raw)
+        raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
+        known.update((w, self.contract_long(r)) for w, r in raw.items() if len(r) > LONG_WORD)
+        short = [w for w, r in raw.items() if len(r) <= SHORT_WORD]
+        long = [w for w, r in raw.items() if SHORT_WORD < len(r) <= LONG_WORD]
+        for own, method in ((short, self.contract), (long, self.sweep)):
+            batch, size = [], 0
+            for w in [*own, None]:
+                if batch and (w is None or size + len(raw[w]) > SEED_BYTES):
+                    known.update(zip(batch, method([raw[x] for x in batch]), strict=True))
+                    batch, size = [], 0
+                if w is not None:
+                    batch.append(w)
+                    size += len(raw[w])
         if len(self.cache) + len(known) <= CACHE_WORDS:
             self.cache.update(known)
         return known

@@ -505,7 +505,16 @@ def test_bpe_decodes_alone(spark, encoder):
 def test_bpe_heap_and_query_agree(encoder):
     c = bpe.Codec(*bpe.load())
     words = [w.encode() for w in (" internationalization", "aaaaaaaaaa", "ёжикёжик", "xyzxyzxyz", "=====")]
-    assert c.contract(words) == [c.contract_long(w) for w in words]
+    assert c.contract(words) == c.sweep(words) == [c.contract_long(w) for w in words]
+
+
+@pytest.mark.parametrize("rows", [2_000_000, 3000])
+def test_bpe_sweeps_long_words_as_the_law_says(encoder, monkeypatch, rows):
+    monkeypatch.setattr(bpe, "SWEEP_ROWS", rows)  # few rows: few rounds a query
+    c, r = bpe.Codec(*bpe.load()), random.Random(11)
+    words = ["".join(r.choice(a) for _ in range(r.randint(65, n))) for a, n in (("ab", 700), ("aaab", 900), ("abcdefghijklmnopqrstuvwxyz", 600), ("中文字符的一是了我不", 300), ("ééèê", 400), ("ACGT", 900), ("xyz", 70)) for _ in range(6)]
+    words += ["a" * n for n in (65, 66, 67, 127, 1000)] + ["=" * 777, "\u0645" * 333]
+    assert c.sweep([w.encode() for w in words]) == [np.array(encoder._core_bpe.encode_single_piece(w.encode()), "<u4").tobytes() for w in words]
 
 
 # 10
