@@ -5,16 +5,18 @@ phrases that occur in that text: each phrase is a longest match, read off the au
 times the bits that name a phrase (log2 of the training length), a character, estimate the cross
 entropy; the language with the least wins, ties going to the smaller name.
 
-Texts are lower-cased; letters stand for themselves, every run-in of other characters for one
-separator. Parsing restarts every ``SEGMENT`` characters, which adds at most one phrase each time,
-alike for all languages, and lets all segments of a batch step through the automata at once as
-arrays. Whole texts are read.
+Texts are lower-cased; every letter of the labelled text stands for itself in all languages, letters
+seen nowhere for one symbol that no automaton knows, any other character for a separator. Texts are
+stepped through in segments, all segments of a batch at once as arrays. A segment is first parsed as
+if a phrase began there, then its head again from where the segment before really ends; both parses
+meet after a few phrases, or else the whole segment is parsed again. So the phrases are those of the whole text.
 
 The labelled sample is bounded: ``SAMPLE_DOCS`` documents a language at most, by hash order, shorter
 than ``SAMPLE_LONG`` characters first, and no further document once ``SAMPLE_CHARS`` are reached.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; null languages teach nothing;
-repeated rows get equal answers; without any labelled text all is ``und``; extra columns are kept.
+repeated rows get equal answers; without any labelled text all is ``und``; an empty table gives no rows; very long
+texts are read whole, some segments at a time; extra columns are kept, but for those named like the output.
 """
 
 from __future__ import annotations
@@ -31,9 +33,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from querent.llm.common import ship, small_batches
 
 SAMPLE_DOCS, SAMPLE_LONG, SAMPLE_CHARS = 60, 8_000, 40_000
-SEGMENT = 512
-#: Letters with a symbol of their own; rarer ones share the symbols of their remainder.
-LETTERS, SHARED = 120, 16
+#: Characters of a segment, and of its head.
+SEGMENT, HEAD = 512, 64
 
 
 def sample(docs: DataFrame, use: Column) -> dict[str, str]:
@@ -49,99 +50,143 @@ def sample(docs: DataFrame, use: Column) -> dict[str, str]:
     return {k: "\n".join(v) for k, v in out.items() if any(map(str.isalpha, "".join(v)))}
 
 
-def automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a code sequence, -1 where there is none."""
-    to = np.full((2 * len(codes) + 2, symbols), -1, np.int32)
-    link, length, last, size = [-1], [0], 0, 1
+def automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of a code sequence."""
+    to, link, length, last = [{}], [-1], [0], 0
     for c in codes.tolist():
-        cur = size
-        size += 1
+        cur = len(to)
+        to.append({})
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and to[p, c] < 0:
-            to[p, c] = cur
+        while p >= 0 and c not in to[p]:
+            to[p][c] = cur
             p = link[p]
         if p >= 0:
-            q = int(to[p, c])
+            q = to[p][c]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                clone = size
-                size += 1
-                to[clone] = to[q]
+                clone = len(to)
+                to.append(dict(to[q]))
                 link.append(link[q])
                 length.append(length[p] + 1)
-                while p >= 0 and to[p, c] == q:
-                    to[p, c] = clone
+                while p >= 0 and to[p].get(c) == q:
+                    to[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return to[:size]
+    return to
+
+
+def packed(to: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of transitions laid over each other: state s goes by symbol c to ``follow[base[s] + c]`` if
+    ``owner[base[s] + c]`` is s, and nowhere if not."""
+    room = 4 * sum(map(len, to)) + 2 * symbols
+    taken, base = bytearray(room + symbols), [0] * len(to)
+    owner, follow = np.full(room + symbols, -1, np.int32), np.zeros(room + symbols, np.int32)
+    rng = np.random.default_rng(0)
+    tries = iter(())
+    for s in sorted(range(len(to)), key=lambda s: -len(to[s])):
+        own = to[s]
+        while True:
+            b = next(tries, None)
+            if b is None:
+                tries = iter(rng.integers(0, room, 1 << 16).tolist())
+            elif not any(taken[b + c] for c in own):
+                break
+        base[s] = b
+        for c, q in own.items():
+            taken[b + c] = 1
+            owner[b + c], follow[b + c] = s, q
+    return np.array(base, np.int32), owner, follow
 
 
 class Parser:
-    """Automata of all languages in one table of flat offsets.
-
-    An entry is the next state's offset; where no match goes on, it is the complement of the state
-    after the same character from the root, and its sign counts the phrase that begins."""
+    """Automata of all languages in one set of arrays; states and places are numbered through."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        letters: dict[str, int] = {}
-        for t in texts.values():
-            for ch in t.lower():
-                if ch.isalpha():
-                    letters[ch] = letters.get(ch, 0) + 1
-        own = sorted(letters, key=lambda ch: (-letters[ch], ch))[:LETTERS]
-        symbols = 2 + len(own) + SHARED  # separator, letters, shared, padding last
-        points = np.arange(0x110000)
-        self.code = (1 + len(own) + points % SHARED).astype(np.uint8)
-        alphabetic = np.fromiter((chr(p).isalpha() if not 0xD800 <= p < 0xE000 else False for p in range(0x110000)), bool, 0x110000)
-        self.code[~alphabetic] = 0
-        for i, ch in enumerate(own):
-            self.code[ord(ch)] = i + 1
-        self.alphabetic, self.pad = alphabetic, symbols - 1
-        tables, base, self.root, self.bits = [], 0, [], []
+        self.alphabetic = np.fromiter((chr(p).isalpha() if not 0xD800 <= p < 0xE000 else False for p in range(0x110000)), bool, 0x110000)
+        letters = sorted({ch for t in texts.values() for ch in t.lower() if ch.isalpha()})
+        symbols = len(letters) + 2  # separator, letters, unknown letters
+        self.code = np.where(self.alphabetic, symbols - 1, 0).astype(np.uint16 if symbols < 1 << 16 else np.int32)
+        self.code[[ord(ch) for ch in letters]] = np.arange(1, symbols - 1)
+        bases, owners, follows, self.dead, self.first, self.bits = [], [], [], [], [], []
+        states = places = 0
         for lang in self.langs:
             codes = self.encode(texts[lang])
-            to = automaton(codes, symbols)
-            # one more state, where every text starts and what follows a character seen nowhere: no phrase is open
-            to = np.vstack([to, np.full((1, symbols), -1, np.int32)])
-            dead = len(to) - 1
-            start = np.where(to[0] >= 0, to[0], dead)[None, :]
-            flat = np.where(to >= 0, base + to * symbols, ~(base + start * symbols))
-            flat[:, self.pad] = base + np.arange(len(to)) * symbols
-            tables.append(flat.astype(np.int32).ravel())
-            self.root.append(base + dead * symbols)
+            to = automaton(codes)
+            root = to[0]
+            base, owner, follow = packed(to, symbols)
+            # one more state, where every text starts and what follows a symbol seen nowhere: no phrase is open
+            dead = states + len(to)
+            bases.append(np.append(base, 0) + places)
+            owners.append(np.where(owner >= 0, owner + states, -1))
+            follows.append(follow + states)
+            self.dead.append(dead)
+            self.first.append([states + root[c] if c in root else dead for c in range(symbols)])
             self.bits.append(math.log2(len(codes) + 1))
-            base += flat.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            states, places = dead + 1, places + len(owner)
+        if self.langs:
+            self.base, self.owner, self.follow = (np.concatenate(x).astype(np.int32) for x in (bases, owners, follows))
+            self.first = np.array(self.first, np.int32)
+            self.dead = np.array(self.dead, np.int32)[:, None]
 
     def encode(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
 
+    def steps(self, grid: np.ndarray, sizes: np.ndarray, state: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """States after, and phrases begun in, characters low to high of segments (columns, longest first)."""
+        state, begun = state.copy(), np.zeros(state.shape, np.int32)
+        left = np.searchsorted(-sizes, -np.arange(low, high), "left")  # segments that have a character there
+        for row, m in zip(grid[low:high], left.tolist(), strict=True):
+            if not m:
+                break
+            now = state[:, :m]
+            place = self.base[now] + row[:m]
+            goes = self.owner[place] == now
+            state[:, :m] = np.where(goes, self.follow[place], self.first[:, row[:m]])
+            begun[:, :m] += ~goes
+        return state, begun
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text (row) by each language (column)."""
         codes = [self.encode(t) for t in texts]
-        pieces = [-(-len(c) // SEGMENT) for c in codes]
-        n = sum(pieces)
-        grid = np.full(n * SEGMENT, self.pad, np.uint8)
-        at = 0
-        for c, k in zip(codes, pieces, strict=True):
-            grid[at * SEGMENT : at * SEGMENT + len(c)] = c
-            at += k
-        steps = np.ascontiguousarray(grid.reshape(n, SEGMENT).T).astype(np.int32)
-        state = np.repeat(np.array(self.root, np.int32)[:, None], n, 1)
-        count = np.zeros((len(self.root), n), np.int32)
-        for row in steps:
-            state += row
-            state = self.table[state]
-            ended = state >> 31  # -1 where a phrase begins
-            count -= ended
-            state ^= ended
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        return np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in count], 1)
+        count = np.array([-(-len(c) // SEGMENT) for c in codes])
+        owner = np.repeat(np.arange(len(texts)), count)
+        size = np.full(len(owner), SEGMENT)
+        ends = np.cumsum(count)
+        size[ends[count > 0] - 1] = [(len(c) - 1) % SEGMENT + 1 for c in codes if len(c)]
+        grid = np.zeros(len(owner) * SEGMENT, self.code.dtype)
+        for c, e, k in zip(codes, ends.tolist(), count.tolist(), strict=True):
+            grid[(e - k) * SEGMENT : (e - k) * SEGMENT + len(c)] = c
+        order = np.argsort(-size, kind="stable")
+        grid = np.ascontiguousarray(grid.reshape(-1, SEGMENT)[order].T)
+        sizes, place = size[order], np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        fresh = np.repeat(self.dead, len(order), 1)
+        mid, head = self.steps(grid, sizes, fresh, 0, HEAD)
+        end, tail = self.steps(grid, sizes, mid, HEAD, SEGMENT)
+        begun = head + tail
+        later = np.flatnonzero(np.r_[False, owner[1:] == owner[:-1]]) if len(owner) else np.zeros(0, int)
+        while len(later):  # segments whose predecessor's end is new
+            own, before = place[later], place[later - 1]
+            by_size = np.argsort(own, kind="stable")  # columns stay longest first
+            own, before, later = own[by_size], before[by_size], later[by_size]
+            real, first = self.steps(grid[:, own], sizes[own], end[:, before], 0, HEAD)
+            begun[:, own] = first + tail[:, own]
+            apart = np.flatnonzero((real != mid[:, own]).any(0))
+            mid[:, own] = real
+            again, rest = self.steps(grid[:, own[apart]], sizes[own[apart]], real[:, apart], HEAD, SEGMENT)
+            tail[:, own[apart]] = rest
+            begun[:, own[apart]] = first[:, apart] + rest
+            new = (again != end[:, own[apart]]).any(0)
+            end[:, own[apart]] = again
+            later = later[apart[new]] + 1
+            later = later[later < len(owner)]
+            later = later[owner[later] == owner[later - 1]]
+        return np.stack([np.bincount(owner, weights=c[place], minlength=len(texts)) for c in begun], 1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)

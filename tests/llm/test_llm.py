@@ -387,6 +387,42 @@ def test_parse_is_the_greedy_one():
         assert p.phrases([t])[0, k] == n
 
 
+def greedy(text, sample):
+    """Phrases of the plain parser: longest matches, one after the other."""
+    n, at = 0, 0
+    while at < len(text):
+        e = at + 1
+        while e < len(text) and text[at : e + 1] in sample:
+            e += 1
+        n, at = n + 1, e
+    return n
+
+
+def test_whole_texts_are_parsed_as_by_the_plain_parser(monkeypatch):
+    r = random.Random(13)
+    ideograms = "".join(chr(0x4E00 + k) for k in range(700))  # more letters than any small alphabet
+    texts = {"one": prose(1, 300), "two": prose(2, 300), "many": "".join(r.choice(ideograms) for _ in range(3000)), "same": "ab" * 700}
+    p = langid.Parser(texts)
+    known = [prose(3, 400), prose(1, 300)[5:], texts["many"][7:2000] + prose(2, 50), "ab" * 2000, "b" + "ab" * 900 + "x", "", "q", "".join(r.choice("ab ") for _ in range(4000)), texts["many"][::-1]]
+    got = p.phrases(known)
+    assert got.tolist() == [[greedy(t, texts[k]) for k in p.langs] for t in known]
+    monkeypatch.setattr(langid, "SEGMENT", 40)
+    monkeypatch.setattr(langid, "HEAD", 3)  # hardly any segment meets its first parse in the head
+    assert langid.Parser(texts).phrases(known).tolist() == got.tolist()
+
+
+def test_predictions_equal_the_plain_parser_on_the_table(spark, corpus):
+    texts = langid.sample(corpus, ~langid.held_out())
+    codes = {k: "".join(ch if ch.isalpha() else " " for ch in t.lower()) for k, t in texts.items()}
+    rows = [x for x in corpus.collect() if len(x.text) < 1500][:40]
+    got = {x.doc_id: x.lang_pred for x in langid.report(corpus).collect()}
+    for x in rows:
+        t = "".join(ch if ch.isalpha() else " " for ch in x.text.lower())
+        cost = {k: greedy(t, c) * np.log2(len(c) + 1) for k, c in codes.items()}
+        want = min(sorted(cost), key=cost.get) if any(map(str.isalpha, t)) else "und"
+        assert got[x.doc_id] == want
+
+
 # 8
 
 
