@@ -7,9 +7,10 @@
    times D^-1 Omega, so the randomised (Nystrom) decomposition of Y and Omega' Z gives the leading
    right singular vectors of the TF-IDF matrix.
 3. A pass folds the windows of every text into that space; items whose cosine reaches ``COSINE``
-   are candidates, and so are those that the window holds by ``HELD``. A candidate is confirmed on all words: longest common subsequence over the
-   item's words, and the same for the item's answer (its last sentence). Paraphrases that reword
-   little or insert words stay above the thresholds; unrelated passages share only common words.
+   are candidates, and so are those that the window holds by ``HELD``. A candidate is confirmed on all
+   words: by the longest common subsequence's share of the item's words, and of its answer's (its last
+   sentence). The more of the item is reworded, the more of the answer must stand (``CONFIRM``).
+   Paraphrases that reword little or insert words pass; unrelated passages share only common words.
 
 The vocabulary is the benchmark's: its size follows the benchmark, not the corpus. Windows are
 16-word blocks taken 2, 4 or 8 at a time, so that every item up to 112 words lies whole in a window
@@ -20,8 +21,9 @@ Items that stand in a text word for word are found apart from the space, by one
 their own words are the window, of cosine 1.
 
 Cases: null or blank texts and items match nothing; repeated items and documents match alike, each
-row for itself; an empty benchmark or corpus gives no matches; ties keep the smaller item id; items
-under ``LEAST`` words are too short to tell from chance and match nothing.
+row for itself; an empty benchmark or corpus gives no matches; items under ``LEAST`` words are too short
+for a subsequence to tell from chance and match only where they stand word for word, items without words
+nowhere; very long texts are read whole; other columns are ignored (``matches``) or stay (``clean``), whatever their names.
 """
 
 from __future__ import annotations
@@ -42,9 +44,12 @@ COMMON, OWN, SHARED = 0.005, 6, 3
 COSINE = 0.5
 #: Or the window's part along the item is as long as so much of the item: other words in it don't count against it.
 HELD = 0.75
-#: Shares of the item's words, and of its answer's, in the longest common subsequence.
-WHOLE, PARTLY, ANSWER = 0.75, 0.5, 0.8
+#: Shares of the item's words in the longest common subsequence, and what share of the answer's each asks for.
+CONFIRM = ((0.9, 0.0), (0.75, 0.5), (0.5, 0.8))
 LEAST = 6
+#: Passages, and benchmark words in them, that are worked on at a time.
+CHUNK, HITS = 20_000, 200_000
+
 
 def words_of(text: str | None) -> list[int]:
     """Names of a text's words: lower-cased, parted by ASCII characters other than letters and digits."""
@@ -71,6 +76,11 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def confirms(share: float, answer: float) -> bool:
+    """Whether these shares of an item and of its answer in a window show the item."""
+    return any(share >= s and answer >= a for s, a in CONFIRM)
+
+
 class Items:
     """The benchmark's pieces and answers, as words."""
 
@@ -78,17 +88,18 @@ class Items:
         self.ids, self.words, self.answers = [], [], []
         for item, text in rows:
             own, answer = words_of(text), answer_of(text or "")
-            if len(own) < LEAST:
+            if not own:
                 continue
             for k in range(0, max(1, len(own) - 96), 96):
                 piece = own[k : k + 112]
                 self.ids.append(item)
                 self.words.append(piece)
                 self.answers.append(answer if len(own) <= 112 else piece[-8:])
-        self.size = [next((s for s in SIZES if (s - 1) * BLOCK >= len(w)), SIZES[-1]) for w in self.words]
+        # 0: found word for word only
+        self.size = [next((s for s in SIZES if (s - 1) * BLOCK >= len(w)), SIZES[-1]) if len(w) >= LEAST else 0 for w in self.words]
 
 
-def passages(batches, lookup: Lookup, limit: int = 200_000):
+def passages(batches, lookup: Lookup):
     """Ids and passage numbers of many texts at a time, and the number of passages."""
     ids, blocks, n, held = [], [], 0, 0
     for b in batches:
@@ -100,7 +111,7 @@ def passages(batches, lookup: Lookup, limit: int = 200_000):
             blocks.append(n + (np.cumsum(count) - count)[text] + (at - bounds[text]) // (4 * BLOCK))
             n += int(count.sum())
             held += len(own)
-            if held > limit:
+            if held > HITS or n > CHUNK:
                 yield np.concatenate(ids), np.concatenate(blocks), n
                 ids, blocks, n, held = [], [], 0, 0
     yield np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *blocks]), n
@@ -127,10 +138,8 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
         known = sent.value
         v, n = len(known), 0
         df = np.zeros(v, np.int64)
-        for ids, blk, more in passages(batches, Lookup(known), 60_000):
-            seen = np.zeros((more, v), bool)
-            seen[blk, ids] = True
-            df += seen.sum(0)
+        for ids, blk, more in passages(batches, Lookup(known)):
+            df += np.bincount(np.unique(blk * v + ids) % v, minlength=v) if len(ids) else 0
             n += more
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([n, *df[used].tolist()], pa.int64())], ["term", "n"])
@@ -263,12 +272,12 @@ def finder(items: Items, lookup: Lookup, vectors: np.ndarray):
                     k, j = int(own[c]), int(text[a[part + r]])
                     lo, hi = max(0, int(low[part + r] - starts[j])), int(high[part + r] - starts[j])
                     found = names[bounds[j] + lo * BLOCK : min(bounds[j] + hi * BLOCK, bounds[j + 1])].tolist()
-                    if sum(map(set(found).__contains__, items.words[k])) < PARTLY * len(items.words[k]):
+                    if sum(map(set(found).__contains__, items.words[k])) < CONFIRM[-1][0] * len(items.words[k]):
                         continue  # no subsequence can be longer
                     share = lcs(items.words[k], found) / len(items.words[k])
-                    if share >= PARTLY:
+                    if share >= CONFIRM[-1][0]:
                         answer = lcs(items.answers[k], found) / len(items.answers[k])
-                        if share >= WHOLE or answer >= ANSWER:
+                        if confirms(share, answer):
                             yield j, items.ids[k], share, answer, float(cos[r, c] / norm[r])
 
     def find(texts: list[str | None]) -> dict[tuple[int, int], tuple]:

@@ -318,6 +318,61 @@ def test_decontamination_finds_items_in_lists(spark):
     assert {(x.doc_id, x.item_id) for x in decontam.matches(d, bench).collect()} == want
 
 
+def sentences(seed, n, words):
+    """Prose in sentences, so that an item's answer is its last one."""
+    w = prose(seed, n, words).split()
+    return " ".join(x + "." if k % 9 == 8 else x for k, x in enumerate(w)) + "."
+
+
+def test_paraphrase_recall_against_lcs_of_all_windows(spark):
+    r = random.Random(17)
+    common = [f"c{k}" for k in range(60)]
+    rare = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9))) for _ in range(3000)]
+    vocabulary = [*common * 40, *rare]  # nearly half of all words are one of sixty
+    items = [sentences(3000 + i, 14 + i % 60, vocabulary) for i in range(60)]
+    texts = []
+    for i in range(400):
+        t = prose(4000 + i, r.randint(20, 260), vocabulary).split()
+        if i % 2 == 0:  # an item with up to half of its words reworded, dropped or doubled
+            w = items[i % 60].split()
+            for k in r.sample(range(len(w)), int(len(w) * r.random() * 0.5)):
+                w[k] = r.choice([r.choice(common), r.choice(rare), "", f"{w[k]} {r.choice(common)}"])
+            at = r.randrange(len(t))
+            t[at:at] = w
+        texts.append(" ".join(t))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.matches(docs(spark, texts), bench).collect()}
+    plain = decontam.Items(list(enumerate(items)))
+    want = set()
+    for j, t in enumerate(texts):
+        w = decontam.words_of(t)
+        for k, own in enumerate(plain.words):
+            reach = plain.size[k] * decontam.BLOCK
+            if sum(map(set(w).__contains__, own)) < 0.5 * len(own):
+                continue
+            for at in range(0, max(1, len(w) - reach + decontam.BLOCK), decontam.BLOCK):
+                part = w[max(0, at) : at + reach]
+                if decontam.confirms(decontam.lcs(own, part) / len(own), decontam.lcs(plain.answers[k], part) / len(plain.answers[k])):
+                    want.add((j, plain.ids[k]))
+    assert len(want) > 130 and got <= want, (len(want), got - want)
+    assert len(got & want) / len(want) > 0.9, len(got & want) / len(want)
+
+
+def test_short_items_match_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "Mount Zagoria?"), (2, "..."), (3, "quokka")], "item_id long, text string")
+    d = docs(spark, ["They saw mount  zagoria, then left", "mount of zagoria", "a QUOKKA", "zagoria mount", prose(1, 50)])
+    assert {(x.doc_id, x.item_id) for x in decontam.matches(d, bench).collect()} == {(0, 1), (2, 3)}
+
+
+def test_foreign_text_is_read_in_bounded_chunks():
+    import pyarrow as pa
+
+    lookup = decontam.Lookup(np.arange(1, 5, dtype=np.uint64))
+    text = prose(5, 60_000)
+    sizes = [n for _, _, n in decontam.passages((pa.RecordBatch.from_pydict({"text": [text] * 8}) for _ in range(12)), lookup)]
+    assert sum(sizes) == 96 * -(-60_000 // 64) and max(sizes) < 2 * decontam.CHUNK
+
+
 def test_decontamination_edges(spark):
     d, b = docs(spark, EDGE), spark.createDataFrame([], "item_id long, text string")
     assert decontam.matches(d, b).count() == 0 and decontam.clean(d, b).count() == len(EDGE)
