@@ -202,10 +202,13 @@ def dedup(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: floa
 
     Near copies are texts whose fingerprints lie within the distance. 64 bits within 4 find word
     shingle sets of similarity 0.95 and more; for all from ``similarity`` on, bands of least hashes
-    of the same shingles add candidates, which the shingle sets, read again, verify. Groups are chains of links of both kinds."""
+    of the same shingles add candidates, which the shingle sets, read again, verify. Groups are chains of links of both kinds.
+
+    Null and blank texts are copies of each other; of rows that repeat an id and text but differ elsewhere the
+    one of least hash stays; very long texts are read whole; an empty table gives no rows."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
-    keys = lambda df: df.withColumn("_d", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("_u", F.xxhash64("text"))
+    key = (F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("u"))
 
     def run(batches):
         for b in batches:
@@ -214,16 +217,17 @@ def dedup(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: floa
                 h = hashes(t, shingle)
                 made.append((fingerprint(h), *least_hashes(h)))
             fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("_u"), pa.array(fps), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.list_(pa.int64()))], ["d", "u", "fp", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("u"), pa.array(fps), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.list_(pa.int64()))], ["d", "u", "fp", "sig", "bands"])
 
-    marked = cut(keys(docs.select("doc_id", "text")).select("_d", "_u", "text").mapInArrow(run, "d long, u long, fp long, sig binary, bands array<long>"))
+    marked = cut(docs.select(*key, "text").mapInArrow(run, "d long, u long, fp long, sig binary, bands array<long>"))
     points = cut(marked.groupBy("fp").agg(F.min_by(F.struct("sig", "bands"), F.struct("d", "u")).alias("x"), F.min(F.struct("d", "u")).alias("first")).select("fp", "first", "x.sig", "x.bands"))
-    roots = components(close_edges(points.select("fp"), distance).unionAll(similar_edges(points, similarity, keys(docs.select("doc_id", "text")).select(F.col("_d").alias("d"), F.col("_u").alias("u"), "text"), shingle)))
+    roots = components(close_edges(points.select("fp"), distance).unionAll(similar_edges(points, similarity, docs.select(*key, "text"), shingle)))
     placed = points.join(roots, points.fp == roots.vertex, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     chosen = cut(placed.select("first.d", "first.u"))
-    found = keys(docs).join(chosen, (F.col("_d") == chosen.d) & (F.col("_u") == chosen.u), "left_semi")
-    repeats = F.row_number().over(Window.partitionBy("_d", "_u").orderBy(F.lit(1)))
-    return found.withColumn("_k", repeats).filter("_k = 1").select(*docs.columns)
+    rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # as one column, whatever its names
+    found = rows.join(chosen, ["d", "u"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("d", "u").orderBy(F.xxhash64("row")))
+    return found.withColumn("k", one).filter("k = 1").select("row.*")
 
 
 def group(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:

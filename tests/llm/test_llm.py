@@ -24,7 +24,7 @@ def docs(spark, texts, lang="en", first=0):
 
 def clashing(df):
     """The same rows with columns that operators add, or use inside."""
-    return df.select("*", *[F.lit(1).alias(c) for c in ("ids", "keep", "lang_pred", "base_spans", "fp", "shard", "_row", "d", "slot")])
+    return df.select("*", *[F.lit(1).alias(c) for c in ("ids", "keep", "lang_pred", "base_spans", "fp", "shard", "_row", "d", "u", "k", "row", "_d", "_u", "_k", "slot", "h")])
 
 
 def prose(seed, n, words=None):
