@@ -172,7 +172,8 @@ def table_keys(codes: np.ndarray) -> np.ndarray:
 
 
 def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """Places of two images that match and agree on one similarity transform; 0 if under ``AGREE`` match."""
+    """Places of two images that match and agree on one similarity transform, of the first transform with
+    ``AGREE`` of them, or of the best one; 0 if under ``AGREE`` match."""
     (pa_, ca), (pb, cb) = a, b
     if len(ca) < LEAST or len(cb) < LEAST:
         return 0
@@ -186,15 +187,17 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     turn = pb[j, 3] - pa_[i, 3]
     c, s = scale * np.cos(turn), scale * np.sin(turn)
     tx, ty = pb[j, 0] - (c * pa_[i, 0] - s * pa_[i, 1]), pb[j, 1] - (s * pa_[i, 0] + c * pa_[i, 1])
-    # every match proposes; at most corners x scales of them
-    x = c[:, None] * pa_[i, 0] - s[:, None] * pa_[i, 1] + tx[:, None]
-    y = s[:, None] * pa_[i, 0] + c[:, None] * pa_[i, 1] + ty[:, None]
-    inside = np.hypot(x - pb[j, 0], y - pb[j, 1]) <= 3
     # corners of several scales at one place count once: a likeness of one place is not a copy
     places = [np.unique(p[m, :2] // PLACE @ (1, 10_000), return_inverse=True)[1] for p, m in ((pa_, i), (pb, j))]
     best = 0
-    for k in np.flatnonzero(inside.sum(1) >= AGREE):
-        best = max(best, min(len(set(x[inside[k]].tolist())) for x in places))
+    for k in range(0, len(i), 8):  # every match proposes, until one has enough to agree
+        x = c[k : k + 8, None] * pa_[i, 0] - s[k : k + 8, None] * pa_[i, 1] + tx[k : k + 8, None]
+        y = s[k : k + 8, None] * pa_[i, 0] + c[k : k + 8, None] * pa_[i, 1] + ty[k : k + 8, None]
+        inside = (x - pb[j, 0]) ** 2 + (y - pb[j, 1]) ** 2 <= 9
+        for own in inside[inside.sum(1) >= AGREE]:
+            best = max(best, min(len(set(q[own].tolist())) for q in places))
+        if best >= AGREE:
+            break
     return best
 
 
