@@ -7,11 +7,11 @@ to Hamming tables: those that agree on a table's bits meet in a bucket. Matching
 votes agree on one transform are copies, cropped, scaled, turned or edited alike.
 
 Equal images are one image before any table (by digest of their pixels). All images of a bucket meet
-in pairs, large buckets in tiles; each pair is verified once however many buckets it shares. Candidate
+in pairs, large buckets in tiles; each pair is one candidate however many buckets it shares. Candidate
 pairs are packed by the two parts of all images that they lie in, so a descriptor goes once to each
-pair of parts that needs it, not to each pair of images, and a verified group sends a spanning forest
-and the number of its links. Components of these: a row per image with its class, and how many verified
-links it has, over all candidates.
+pair of parts that needs it, not to each pair of images. There every candidate is verified but those
+that verified links have joined already, so a group of n copies costs about n verifications and sends
+the links of a spanning forest. Components of these: a row per image with its class.
 
 Random likeness of two patches grows with the square of the images, at a rate set by ``TABLE_BITS``;
 what it costs is verification, never a result.
@@ -24,7 +24,6 @@ id each keeps its own image's class; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -233,7 +232,7 @@ def _part(v: np.ndarray, parts: int) -> np.ndarray:
 
 
 def copies(images: DataFrame) -> DataFrame:
-    """``image_id, class_id, n_links, n_corners`` of every image; class: smallest id among its copies."""
+    """``image_id, class_id, n_corners`` of every image; class: smallest id among its copies."""
     spark = images.sparkSession
     ship(spark)
     small_batches(spark)
@@ -301,29 +300,25 @@ def copies(images: DataFrame) -> DataFrame:
         def linked(pairs: list[bytes], own: dict):
             both = np.unique(np.frombuffer(b"".join(pairs), np.int64).reshape(-1, 2), axis=0)
             edges = np.flatnonzero(np.r_[True, both[1:, 0] != both[:-1, 0], True])
-            found = []
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                a = int(both[lo, 0])
-                x = _unpack(*own[a])
-                for k in range(lo, hi, 64):
-                    others = both[k : min(hi, k + 64), 1].tolist()
-                    for b in maybe(x[1], others, own):
-                        y = _unpack(*own[b])
-                        if (consensus(x, y) if a < b else consensus(y, x)) >= AGREE:
-                            found.append((a, b))
-            degree, to, tree = Counter(v for e in found for v in e), {}, []
+            to, tree = {}, []
 
             def top(v: int) -> int:
                 while (up := to.get(v, v)) != v:
                     to[v] = v = to.get(up, up)
                 return v
 
-            for a, b in found:
-                if (x := top(a)) != (y := top(b)):
-                    to[x] = y
-                    tree.append((a, b, 0))
-            rows = tree + [(v, v, n) for v, n in degree.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "n"])
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                a = int(both[lo, 0])
+                x = _unpack(*own[a])
+                for k in range(lo, hi, 64):
+                    others = [b for b in both[k : min(hi, k + 64), 1].tolist() if top(a) != top(b)]  # the rest is linked already
+                    for b in maybe(x[1], others, own) if others else []:
+                        if top(a) != top(b):
+                            y = _unpack(*own[b])
+                            if (consensus(x, y) if a < b else consensus(y, x)) >= AGREE:
+                                to[top(a)] = top(b)
+                                tree.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in tree], pa.int64()) for k in range(2)], ["a", "b"])
 
         at, own, pairs = None, {}, []
         for batch in batches:
@@ -344,10 +339,10 @@ def copies(images: DataFrame) -> DataFrame:
     release(spark)  # the tables' rows are read no more
     sides = pairs.mapInArrow(members, "cell long, v long").distinct().join(described.drop("pixels"), "v").select("cell", "v", "points", "codes", F.lit(None).cast("binary").alias("pairs"))
     lists = pairs.select("cell", F.lit(None).cast("long").alias("v"), F.lit(None).cast("binary").alias("points"), F.lit(None).cast("binary").alias("codes"), "pairs")
-    links = cut(sides.unionAll(lists).repartition("cell").sortWithinPartitions("cell", F.col("pairs").isNotNull()).mapInArrow(verify, "a long, b long, n long"))
-    roots = components(links.select("a", "b"))
-    degree = links.filter("n > 0").groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("n_links"))
-    placed = described.select("pixels", "v", (F.length("codes") / (BITS // 8)).cast("long").alias("n_corners")).join(roots, F.col("v") == F.col("vertex"), "left").join(degree, "v", "left")
-    placed = cut(placed.select("pixels", "v", "n_corners", F.coalesce("root", "v").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    named = placed.join(placed.groupBy("root").agg(F.min("v").alias("class_id")), "root").select("pixels", "class_id", "n_links", "n_corners")
-    return own.select("image_id", "pixels").join(named, "pixels").select("image_id", "class_id", "n_links", "n_corners")
+        # a stated number of partitions, several a cell, since few bytes here are much work
+    links = sides.unionAll(lists).repartition(2 * cells * (cells + 1), "cell").sortWithinPartitions("cell", F.col("pairs").isNotNull()).mapInArrow(verify, "a long, b long")
+    roots = components(links)
+    placed = described.select("pixels", "v", (F.length("codes") / (BITS // 8)).cast("long").alias("n_corners")).join(roots, F.col("v") == F.col("vertex"), "left")
+    placed = cut(placed.select("pixels", "v", "n_corners", F.coalesce("root", "v").alias("root")))
+    named = placed.join(placed.groupBy("root").agg(F.min("v").alias("class_id")), "root").select("pixels", "class_id", "n_corners")
+    return own.select("image_id", "pixels").join(named, "pixels").select("image_id", "class_id", "n_corners")
