@@ -41,13 +41,23 @@ def register(kind: str, make: Callable[..., Backend]) -> None:
     _KINDS[kind] = make
 
 
-def make(kind: str, cache: bool = True, **settings: object) -> Backend:
-    """The backend of a kind, one a process for equal settings; unknown kinds raise ValueError."""
+def maker(kind: str) -> Callable[..., Backend]:
+    """What makes backends of a kind; unknown kinds raise ValueError."""
     if kind not in _KINDS:
         raise ValueError(f"unknown backend: {kind}")
+    return _KINDS[kind]
+
+
+def make(kind: str, cache: bool = True, **settings: object) -> Backend:
+    """The backend of a kind, one a process for equal settings; unknown kinds raise ValueError."""
+    return made(kind, maker(kind), cache, **settings)
+
+
+def made(kind: str, build: Callable[..., Backend], cache: bool = True, **settings: object) -> Backend:
+    """The same from a maker that the caller holds, as executors do: kinds are registered on the driver alone."""
     key = (kind, repr(sorted(settings.items())))
     if not cache or key not in _MADE:
-        _MADE[key] = _KINDS[kind](**settings)
+        _MADE[key] = build(**settings)
     return _MADE[key]
 
 
@@ -73,15 +83,16 @@ def marked(messages: list[Message]) -> list[Message]:
 
 
 def generate(prompts: DataFrame, done: DataFrame, kind: str, keys: list[str], **settings: object) -> DataFrame:
-    """``keys, text`` of prompts (``keys, system, user``) not in ``done`` yet; each executor makes the
-    backend once and streams rows through it."""
+    """``keys, text`` of prompts (``keys, system, user``) not in ``done`` yet; each executor's worker makes
+    the backend once, by the maker that travels with the task, and streams rows through it."""
     import pandas as pd
 
     ship(prompts.sparkSession)
+    build = maker(kind)
     rest = prompts.join(done.select(*keys).distinct(), keys, "left_anti").select(*keys, "system", "user")
 
     def run(frames):
-        backend = make(kind, **settings)
+        backend = made(kind, build, **settings)
         for f in frames:
             texts = [backend.generate([{"role": "system", "content": s or ""}, {"role": "user", "content": u or ""}]) for s, u in zip(f["system"], f["user"], strict=True)]
             yield pd.concat([f[keys], pd.Series(texts, name="text", dtype=object, index=f.index)], axis=1)
