@@ -46,6 +46,8 @@ def test_repairs(spark, step, sql, want):
         ("WITH q AS (SELECT c_name n FROM customer) SELECT n FROM q WHERE n IN (SELECT o_custkey FROM orders)", {("customer", "c_name"), ("orders", "o_custkey")}),
         ("SELECT `c_name` FROM customer WHERE c_name = 'o_custkey'", {("customer", "c_name")}),
         ("SELEC c_name FROM customer WHER x", {("customer", "c_name")}),
+        ("SELEC orders . `o_custkey` FROM `customer` WHER c_name = 'y o_orderdate' (", {("customer", "c_name"), ("orders", "o_custkey")}),
+        ("SELEC id FROM b WHER (", {("b", "id")}),
     ],
 )
 def test_lineage(spark, sql, want):
