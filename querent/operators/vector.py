@@ -43,20 +43,27 @@ def hashed(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action=None)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, blocks: int = 64) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = 10_000) -> DataFrame:
     """``query_id, row_id, score, rank``: the k rows of greatest cosine for each query, ties by row_id.
 
     Columns ``query_id, vector`` and ``row_id, vector``; where both sides also have ``own``, rows whose
-    ``own`` equals the query's are left out before the k are taken. The query set, stated by the
-    caller, meets all rows in blocks: queries are dealt into blocks, each row goes to every block
-    once, and a task keeps k rows a query before the shuffle that merges them. Where the queries are
-    small, Spark broadcasts them and nothing else moves."""
+    ``own`` equals the query's are left out before the k are taken. The query set, stated by the caller, is
+    counted: up to ``block`` queries are broadcast, and rows stay where they are. More are dealt into
+    blocks of about that size, and rows by their id into as many lots as there are shuffle partitions;
+    each block meets each lot in a join, so no task holds all rows. A task keeps k rows a query before
+    the shuffle that merges them."""
     apart = "own" in queries.columns and "own" in rows.columns
+    blocks = max(1, -(-queries.count() // block))
     q = queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), *([F.col("own").alias("mine")] if apart else []))
-    r = rows.select("row_id", F.col("vector").alias("r"), norm(F.col("vector")).alias("nr"), *(["own"] if apart else [])).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    met = r.join(q, "block")
-    if apart:
-        met = met.filter(~F.col("own").eqNullSafe(F.col("mine")))
+    r = rows.select("row_id", F.col("vector").alias("r"), norm(F.col("vector")).alias("nr"), *(["own"] if apart else []))
+    if blocks == 1:
+        met = r.join(F.broadcast(q.drop("block")), F.lit(True) if not apart else ~F.col("own").eqNullSafe(F.col("mine")))
+    else:
+        lots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+        r = r.withColumn("lot", F.pmod(F.xxhash64("row_id"), F.lit(lots))).withColumn("block", every(blocks))
+        met = r.join(q.withColumn("lot", every(lots)).hint("shuffle_hash"), ["block", "lot"])
+        met = met.filter(~F.col("own").eqNullSafe(F.col("mine"))) if apart else met
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     score = F.when((F.col("nq") > 0) & (F.col("nr") > 0), dot(F.col("q"), F.col("r")) / (F.col("nq") * F.col("nr"))).otherwise(0.0)
     return met.select("query_id", "row_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
