@@ -65,9 +65,13 @@ def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column, distinct_count``; a column of nulls counts 0."""
+    """``column, distinct_count``; a column of nulls counts 0.
+
+    Counting by ``n`` keeps it in the histogram, which then equals that of the top values: a plan with
+    both shuffles it once."""
     names = df.sparkSession.createDataFrame([(c,) for c in columns or df.columns], "column string")
-    return names.join(histogram(df, columns).groupBy("column").agg(F.count("*").alias("distinct_count")), "column", "left").fillna(0, ["distinct_count"])
+    counted = histogram(df, columns).groupBy("column").agg(F.count_if(F.col("n") > 0).alias("distinct_count"))
+    return names.join(counted, "column", "left").fillna(0, ["distinct_count"])
 
 
 def distinct_limited(df: DataFrame, column: str, limit: int, *keys: str) -> DataFrame:
@@ -84,9 +88,19 @@ def top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> D
 
 
 def samples(df: DataFrame, key: str, n: int = 5, columns: list[str] | None = None) -> DataFrame:
-    """``column, value, rank``: the first n values by the key (unique), repeats kept, nulls left out."""
+    """``column, value, rank``: the first n values by the key (unique), repeats kept, nulls left out.
+
+    The table's first n rows answer for every column that has no nulls among them. Only the other
+    columns, found by a count over those rows, are melted over the whole table."""
+    columns = columns or df.columns
     order = Window.partitionBy("column").orderBy("key")
-    return melted(df, columns, key).filter("value is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("key")
+    ranked = lambda rows, names: melted(rows, names, key).filter("value is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("key")
+    head = df.select(*[F.col(quoted(c)) for c in dict.fromkeys([key, *columns])]).orderBy(F.col(quoted(key))).limit(n)
+    seen = head.agg(F.count("*"), *[F.count(F.col(quoted(c))) for c in columns]).first()
+    scarce = [c for c, held in zip(columns, seen[1:], strict=True) if seen[0] == n and held < n]
+    near = [c for c in columns if c not in scarce]
+    parts = [ranked(rows, names) for rows, names in ((head, near), (df, scarce)) if names]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def shape(sampled: DataFrame) -> DataFrame:
