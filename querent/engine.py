@@ -149,12 +149,15 @@ class Database:
             chosen[name] = self.choose(question_id, question, made).sql
         return self.spark.createDataFrame([(question_id, *x) for x in sorted(links)], "question_id long, table string, column string"), chosen
 
-    def answer(self, question_id: int, question: str, linked: DataFrame, backend: Backend, evidence: str = "", examples: str = "", retries: int = 3) -> Answer:
-        """Three candidates by three strategies, each corrected, then a vote; ties ask the generator."""
+    def answer(self, question_id: int, question: str, linked: DataFrame, backend: Backend, evidence: str = "", examples: str = "", retries: int = 3, profiles: DataFrame | None = None) -> Answer:
+        """Three candidates by three strategies, each corrected, then a vote; ties ask the generator.
+
+        With profiles, each strategy puts its own kind of profile behind the columns that it shows."""
         made: list[correct.Corrected] = []
-        for name, shown, _, few, temperature, seed in vote.STRATEGIES:
-            columns = self.catalog if shown == "full" else link.pruned(self.catalog, linked)
-            prompt = self.schema_prompt(columns, question, evidence, examples if few else "")
+        for name, shown, mode, few, temperature, seed in vote.STRATEGIES:
+            noted = self.catalog if profiles is None else self.commented(profiles, mode)
+            columns = noted if shown == "full" else link.pruned(noted, linked)
+            prompt = self.schema_prompt(columns, question, evidence, examples if few else "", comment=None if profiles is None else "comment")
             hint = next((c.sql for c in made if c.outcome and c.outcome.ok), "")
             made.append(correct.corrected(self.spark, backend, prompt, retries, hint, temperature=temperature, seed=seed, strategy=name))
         return self.choose(question_id, question, made, backend)
@@ -180,15 +183,17 @@ class Database:
                 c.outcome.rows.unpersist()
         return Answer(question_id, made[winner].sql if winner is not None else "", method, int(best.agreement), made)
 
-    def answer_all(self, questions: DataFrame, links: DataFrame, backend: Backend, out: str, retries: int = 3) -> None:
-        """Answers of all questions that ``out`` has neither a result nor an error of, saved one by one."""
+    def answer_all(self, questions: DataFrame, links: DataFrame, backend: Backend, out: str, retries: int = 3, profiles: DataFrame | None = None) -> None:
+        """Answers of all questions that ``out`` has neither a result nor an error of, saved one by one.
+
+        Questions may bring ``evidence`` and ``examples``; both go into their prompts."""
         done = [self.spark.read.json(f"{out}/{n}") if files.exists(self.spark, f"{out}/{n}") else self.spark.createDataFrame([], "question_id long") for n in ("results", "errors")]
         done = [d if Q in d.columns else self.spark.createDataFrame([], "question_id long") for d in done]
         kind = "question_id long, sql string, method string, agreement int"
         for q in files.remaining(questions, *done).orderBy(Q).toLocalIterator():
-            results, errors = [], []
+            results, errors, said = [], [], q.asDict()
             try:
-                a = self.answer(q[Q], q["question"], links.filter(F.col(Q) == q[Q]), backend, retries=retries)
+                a = self.answer(q[Q], q["question"], links.filter(F.col(Q) == q[Q]), backend, *(said.get(c) or "" for c in ("evidence", "examples")), retries=retries, profiles=profiles)
                 results.append((a.question_id, a.sql, a.method, a.agreement))
             except Exception as e:  # noqa: BLE001  one question's failure is recorded, the others go on
                 errors.append((q[Q], str(e)))
@@ -197,11 +202,22 @@ class Database:
     def score(self, answers: list[Answer], gold: dict[int, str]) -> DataFrame:
         """``question_id, gold_ok, voted_correct, any_correct`` for the accuracy aggregates."""
         rows = []
+
+        def result(sql: str) -> tuple | None:
+            done = run(self.spark, sql)
+            if not done.ok:
+                return None
+            try:
+                return tuple(digest(done.rows).first())
+            finally:
+                done.rows.unpersist()
+
         for a in answers:
-            truth = run(self.spark, gold.get(a.question_id, ""))
-            same = lambda sql, t=truth: bool(t.ok and (o := run(self.spark, sql)).ok and digest(o.rows).first() == digest(t.rows).first())
-            voted = same(a.sql)
-            rows.append((a.question_id, truth.ok, voted, voted or any(same(c.sql) for c in a.candidates)))
+            truth = result(gold.get(a.question_id, ""))
+            # each statement runs once; without a truth none has to
+            found = {sql: result(sql) for sql in dict.fromkeys([a.sql, *(c.sql for c in a.candidates)])} if truth else {}
+            right = {sql for sql, r in found.items() if r == truth}
+            rows.append((a.question_id, truth is not None, a.sql in right, bool(right)))
         return self.spark.createDataFrame(rows, "question_id long, gold_ok boolean, voted_correct boolean, any_correct boolean")
 
     def schema_links(self, statements: DataFrame) -> DataFrame:

@@ -20,8 +20,10 @@ def focus(near: DataFrame, literal: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def pruned(catalog: DataFrame, linked: DataFrame) -> DataFrame:
-    """Linked columns of each question in catalog order: ``question_id, table, ordinal, column, type``."""
-    return linked.join(catalog, KEYS).select("question_id", "table", "ordinal", "column", "type")
+    """Linked columns of each question in catalog order: ``question_id, table, ordinal, column, type``, and
+    the catalog's ``comment`` where it has one."""
+    noted = ["comment"] if "comment" in catalog.columns else []
+    return linked.join(catalog, KEYS).select("question_id", "table", "ordinal", "column", "type", *noted)
 
 
 def union_links(links: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from querent.engine import Database
 from querent.operators import evaluate
@@ -49,6 +50,13 @@ def test_answers_votes_and_scores(spark, db, tmp_path):
     assert (a.sql, a.method, a.agreement) == (good, "majority", 2)
     tie = db.answer(2, "?", links, Scripted(["SELECT 1", "SELECT 2", "SELECT 3", "B"]))
     assert (tie.sql, tie.method) == ("SELECT 2", "tiebreak")
+    profiles = spark.createDataFrame([("nation", "n_name", "Its name.", "long text", "[DEV DOC]\nDescription: doc")], "table string, column string, short_profile string, profile_text string, full_text string")
+    b = Scripted([good])
+    db.answer(4, "How many?", links.withColumn("question_id", F.lit(4)), b, "a hint", "an example", profiles=profiles)
+    wide, deep, lone = (a[0]["content"] for a in b.asked[:3])
+    assert "n_name string  -- Its name." in wide and "c_name" in wide and "an example" in wide and "a hint" in wide
+    assert "n_name string  -- Description: doc || long text" in deep and "c_name" not in deep
+    assert "n_name string  -- long text\n" in lone and "an example" not in lone
     failed = db.answer(3, "?", links, Scripted(["no"]))
     assert (failed.sql, failed.method) == ("", "none")
     s = evaluate.accuracy(db.score([a, tie, failed], {1: "SELECT 25", 2: "SELECT 3", 3: "broken"})).first()

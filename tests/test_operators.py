@@ -53,8 +53,32 @@ def test_band_recall_against_exact_similarity(spark):
 def test_top_k_is_whole_and_leaves_out_equals(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0], "a")], "query_id int, vector array<double>, own string")
     r = spark.createDataFrame([(i, [1.0, i / 10], "a" if i < 3 else "b") for i in range(6)] + [(9, [0.0, 0.0], None)], "row_id int, vector array<double>, own string")
-    assert [x[0] for x in rows(vector.top_k(q, r, 3, blocks=4), "row_id")] == [3, 4, 5]
-    assert len(rows(vector.top_k(q.drop("own"), r.drop("own"), 100, blocks=4), "row_id")) == 7
+    assert [x[0] for x in rows(vector.top_k(q, r, 3), "row_id")] == [3, 4, 5]
+    assert len(rows(vector.top_k(q.drop("own"), r.drop("own"), 100), "row_id")) == 7
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_top_k_in_blocks_equals_broadcast(spark, own):
+    r = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0], "ab"[i % 2]) for i in range(60)], "row_id int, vector array<double>, own string")
+    q = r.filter("row_id % 6 = 0").withColumnRenamed("row_id", "query_id")
+    if not own:
+        q = q.drop("own")
+    one, many = vector.top_k(q, r, 4), vector.top_k(q, r, 4, block=3)
+    assert rows(one, "query_id", "rank", "row_id", "score") == rows(many, "query_id", "rank", "row_id", "score")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "Generate" not in plan
+
+
+def test_profile_shuffles_one_histogram(spark):
+    df = spark.createDataFrame([(i, str(i % 3)) for i in range(20)], "k int, s string")
+    both = profile.distinct_counts(df).join(profile.top_values(df, 2).groupBy("column").count(), "column")
+    both.collect()
+    assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_top_up_columns_with_nulls(spark):
+    df = spark.createDataFrame([(i, None if i < 5 else f"v{i}", f"w{i}") for i in range(9)], "k int, s string, w string")
+    assert rows(profile.samples(df, "k", 3), "column", "rank", "value") == sorted((c, i + 1, v) for c, vs in {"k": "012", "s": ["v5", "v6", "v7"], "w": ["w0", "w1", "w2"]}.items() for i, v in enumerate(vs))
 
 
 def test_few_shots_leave_out_the_same_text(spark):
@@ -133,6 +157,16 @@ def test_backends(spark):
     prompts = spark.createDataFrame([(1, "s", "u"), (2, "s", "u")], "id int, system string, user string")
     made = backend.generate(prompts, prompts.filter("id = 1"), "scripted", ["id"], answers=["ok"])
     assert rows(made, "id", "text") == [(2, "ok")]
+
+    class Echo:
+        def __init__(self, tail):
+            self.tail = tail
+
+        def generate(self, messages, max_new_tokens=512, **settings):
+            return messages[-1]["content"] + self.tail
+
+    backend.register("echo", Echo)  # known to this process alone: the maker travels with the task
+    assert rows(backend.generate(prompts, prompts.limit(0), "echo", ["id"], tail="!"), "id", "text") == [(1, "u!"), (2, "u!")]
     p = spark.createDataFrame([(1, "old"), (2, "old")], "id int, profile_text string")
     once = backend.write_back(p, made, ["id"])
     assert rows(backend.write_back(once, made, ["id"]), "id", "profile_text") == [(1, "old"), (2, "ok\nold")]
