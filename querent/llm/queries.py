@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, chat, decontam, langid, media, pii, quality, sharding, simhash, suffix_dedup
+from querent.llm import bpe, chat, decontam, langid, licenses, media, pii, quality, sharding, simhash, suffix_dedup
 from querent.llm.common import read
 
 
@@ -56,9 +56,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_suffix_dedup, op3_quality, op4_sharding, op5_decontam, op6_chat, op7_langid, op8_simhash, op9_bpe, op10_pii)}
+    return {f.__name__: f for f in (op1_media, op2_suffix_dedup, op3_quality, op4_sharding, op5_decontam, op6_chat, op7_langid, op8_simhash, op9_bpe, op10_pii, op11_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_licenses": licenses.SQL}
