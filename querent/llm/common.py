@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from querent.session import ship
 
-__all__ = ["cut", "read", "release", "shared_folder", "ship", "small_batches"]
+__all__ = ["cut", "read", "release", "shared_folder", "ship", "small_batches", "written"]
 
 #: Rows of one Arrow batch sent to Python; whole documents can be long, so batches stay short.
 BATCH_ROWS = 500
@@ -40,6 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in the shared folder. Unlike ``checkpoint``, which runs a plan once to
+    see it through and again to write it, this runs it once; and later reads take single columns of it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds; long texts make default batches large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

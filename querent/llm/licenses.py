@@ -9,7 +9,7 @@ Detections are intervals of words. A detection gives way to one that contains it
 high or higher; of equal intervals the higher level stays, then the earlier rule. Detections of level
 ``BASE`` always count. A score is the weight of the best detection that stays.
 
-One scan yields a row a document and a row a detection; it is checkpointed, so that the row numbers
+One scan yields a row a document and a row a detection; it is written to the shared folder, so that the row numbers
 which keep repeated documents apart hold for good. Only detections are shuffled, by row number, and
 resolved by windows that spill, so a text of one phrase a million times is no special case.
 
@@ -20,17 +20,19 @@ rows; extra columns, whatever their names, are ignored. Very long texts are read
 
 from __future__ import annotations
 
+import json
 import string
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import cut
+from querent.llm.common import written
 
 __all__ = ["RULES", "SQL", "detections", "report", "resolved", "scan"]
 
-#: What parts words.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words, but for capitals, and what it becomes.
+GAP = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+FROM, TO = string.ascii_uppercase + GAP, string.ascii_lowercase + " " * len(GAP)
 #: Weight of a detection by level: base phrases, weak phrases, named licenses, license texts and tags.
 WEIGHTS = (0.5, 0.6, 0.9, 1.0)
 BASE = 0
@@ -256,10 +258,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``_row, key, n_words`` and a row a match of a rule: ``rule, label, level, at, before, words`` (its number among
     the rule's matches, and the words between it and the match before, and in it). A document without any
     has one row, with nulls."""
-    lowered = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    keywords = F.array(*map(F.lit, sorted({r[3] for r in RULES})))
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(level).alias("level"), F.lit(word).alias("keyword"), F.lit(_wide(p)).alias("pattern")) for i, label, level, word, p in RULES])
-    rows = docs.select(F.col(key), F.trim(F.regexp_replace(lowered, GAP, "  ")).alias("_t")).withColumn("_row", F.monotonically_increasing_id())
+    plain = F.trim(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), FROM, TO))
+    keywords = F.split(F.lit(" ".join(sorted({r[3] for r in RULES}))), " ")
+    # one literal, folded when the plan is optimised
+    rules = F.from_json(F.lit(json.dumps([{"rule": i, "label": label, "level": level, "keyword": word, "pattern": _wide(p)} for i, label, level, word, p in RULES])), "array<struct<rule int, label string, level int, keyword string, pattern string>>")
+    rows = docs.select(F.col(key), F.regexp_replace(plain, " +", "  ").alias("_t")).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.withColumn("_words", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", "  ")))
     rows = rows.select("_row", key, F.size("_words").cast("long").alias("n_words"), F.array_intersect("_words", keywords).alias("_held"), F.concat(F.lit(" "), "_t", F.lit(" ")).alias("_t"))
     # only rules whose keyword is held are tried; of these only what matches goes on
@@ -283,12 +286,12 @@ def resolved(found: DataFrame) -> DataFrame:
 
 def detections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, rule, label, level, begin, end, kept``: every match of a rule, as words from 0."""
-    return resolved(cut(scan(docs, key, text))).select(key, "rule", "label", "level", "begin", "end", "kept")
+    return resolved(written(scan(docs, key, text))).select(key, "rule", "label", "level", "begin", "end", "kept")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
-    found = cut(scan(docs))
+    found = written(scan(docs))
     base, kept = F.col("level") == BASE, F.col("kept")
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")  # noqa: E731  as many labels as rules at most
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("level") + 1)
@@ -311,7 +314,7 @@ def _sql() -> str:
     rows = ",\n".join(f"({i}, {text(label)}, {level}, {WEIGHTS[level]}::DOUBLE, {text(word)}, {text(_wide(p))})" for i, label, level, word, p in RULES)
     return rf"""
 WITH rules(rule, label, level, weight, keyword, pattern) AS (VALUES {rows}),
-docs AS (SELECT row_number() OVER () AS rid, doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{GAP}', '  ', 'g'), ' ') || ' ' AS t FROM documents),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g'), ' ') || ' ' AS t FROM documents),
 met AS (SELECT rid, doc_id, t, rule, label, level, weight, pattern, regexp_extract_all(t, pattern) AS m FROM docs JOIN rules ON contains(t, ' ' || keyword || ' ')),
 cells AS (SELECT rid, rule, label, level, weight, string_split_regex(t, pattern) AS p, m, unnest(range(1, len(m) + 1)) AS i FROM met WHERE len(m) > 0),
 counted AS (SELECT rid, rule, label, level, weight, i, (length(p[i]) - length(replace(p[i], ' ', ''))) // 2 AS before, (length(m[i]) - length(replace(m[i], ' ', ''))) // 2 AS words FROM cells),
