@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, chat, decontam, divergence, langid, licenses, media, pii, quality, sharding, simhash, suffix_dedup
+from querent.llm import bpe, chat, collocations, decontam, divergence, langid, licenses, media, pii, quality, sharding, simhash, suffix_dedup
 from querent.llm.common import read
 
 
@@ -60,13 +60,17 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_suffix_dedup, op3_quality, op4_sharding, op5_decontam, op6_chat, op7_langid, op8_simhash, op9_bpe, op10_pii, op11_licenses, op13_divergence)}
+    return {f.__name__: f for f in (op1_media, op2_suffix_dedup, op3_quality, op4_sharding, op5_decontam, op6_chat, op7_langid, op8_simhash, op9_bpe, op10_pii, op11_licenses, op12_collocations, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_licenses": licenses.SQL, "op13_divergence": divergence.SQL}
+    return {"op11_licenses": licenses.SQL, "op12_collocations": collocations.SQL, "op13_divergence": divergence.SQL}
