@@ -58,7 +58,7 @@ BSD-2-Clause        simplified  simplified bsd(?: licen[cs]e)?
 BSD-2-Clause        freebsd     freebsd licen[cs]e
 BSD-3-Clause        bsd         bsd 3 clause(?: licen[cs]e)?
 BSD-3-Clause        bsd         (?:3|three) clause bsd(?: licen[cs]e)?
-BSD-3-Clause        revised     (?:new|revised|modified) bsd(?: licen[cs]e)?
+BSD-3-Clause        bsd         (?:new|revised|modified) bsd(?: licen[cs]e)?
 BSD-3-Clause        bsd         new bsd licen[cs]e
 BSD-4-Clause        bsd         bsd 4 clause(?: licen[cs]e)?
 BSD-4-Clause        bsd         (?:4|four) clause bsd(?: licen[cs]e)?
@@ -164,7 +164,7 @@ BSD-2-Clause        retain      redistributions of source code must retain the a
 BSD-3-Clause        endorse     neither the names? of .{1,80}? may be used to endorse or promote products derived from this software without specific prior written permission
 BSD-4-Clause        advertising all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 Apache-2.0          compliance  you may not use this file except in compliance with the license
-Apache-2.0          sublicensable  perpetual worldwide non exclusive no charge royalty free irrevocable
+Apache-2.0          perpetual   perpetual worldwide non exclusive no charge royalty free irrevocable
 GPL-notice          redistribute  you can redistribute it and or modify it under the terms of the gnu(?: lesser| library| affero)? general public license
 GPL-notice          useful      distributed in the hope that it will be useful but without any warranty
 GPL-notice          copyleft    the gnu general public license is a free copyleft license for software and other kinds of works
@@ -179,10 +179,10 @@ WTFPL               fuck        you just do what the fuck you want to
 Beerware            beer        you can buy me a beer in return
 OFL-1.1             reserved    with reserved font names?
 CC0-1.0             waived      has waived all copyright and related or neighboring rights to
-CC-BY               material    you must give appropriate credit provide a link to the license and indicate if changes were made
+CC-BY               appropriate you must give appropriate credit provide a link to the license and indicate if changes were made
 PSF-2.0             psf         psf hereby grants licensee a nonexclusive royalty free world wide license
 NCSA                deal        to deal with the software without restriction
-MS-PL               distributors  each contributor grants you a non exclusive worldwide royalty free copyright license
+MS-PL               contributor each contributor grants you a non exclusive worldwide royalty free copyright license
 """
 
 #: Phrases that hint at terms without naming them: label, keyword, words.
@@ -195,7 +195,8 @@ creative-commons    creative    creative commons
 copyright           copyright   copyright(?: c)?(?: by)? (?:19|20)[0-9]{2}
 copyright           copyrighted (?:is|are) copyrighted
 notice              permission  permission is hereby granted
-notice              warranty    without warrant(?:y|ies) of any kind
+notice              warranty    without warranty of any kind
+notice              warranties  without warranties of any kind
 notice              warranty    as is without(?: any)? warranty
 notice              merchantability  (?:implied )?warranties of merchantability
 notice              noninfringement  (?:and|or) noninfringement
