@@ -266,12 +266,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(F.col(key), F.regexp_replace(plain, " +", "  ").alias("_t")).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.withColumn("_words", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", "  ")))
     rows = rows.select("_row", key, F.size("_words").cast("long").alias("n_words"), F.array_intersect("_words", keywords).alias("_held"), F.concat(F.lit(" "), "_t", F.lit(" ")).alias("_t"))
-    # only rules whose keyword is held are tried; of these only what matches goes on
-    tried = F.transform(F.filter(rules, lambda r: F.array_contains("_held", r["keyword"])), lambda r: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["level"].alias("level"), r["pattern"].alias("pattern"), F.regexp_extract_all("_t", r["pattern"], F.lit(0)).alias("m")))
-    met = rows.withColumn("_r", F.explode_outer(F.when(F.size("_held") > 0, F.filter(tried, lambda r: F.size(r["m"]) > 0))))
-    cells = F.zip_with(F.slice(F.split("_t", F.col("_r.pattern"), F.lit(-1)), 1, F.size("_r.m")), F.col("_r.m"), lambda p, m: F.struct(_count(p).alias("before"), _count(m).alias("words")))
-    parted = met.select("_row", key, "n_words", "_r.rule", "_r.label", "_r.level", F.when(F.col("_r").isNotNull(), cells).alias("_c"))
-    return parted.select("_row", key, "n_words", "rule", "label", "level", F.posexplode_outer("_c").alias("at", "_c")).select("_row", key, "n_words", "rule", "label", "level", "at", "_c.before", "_c.words")
+    # Only rules whose keyword is held are tried, and only what matches goes on. A match is marked at both ends
+    # and the text split at the marks, in one pass each; words have no control characters.
+    parted = lambda r: F.split(F.regexp_replace("_t", r["pattern"], F.lit("\x01$0\x01")), "\x01")
+    tried = F.transform(F.filter(rules, lambda r: F.array_contains("_held", r["keyword"])), lambda r: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["level"].alias("level"), F.transform(parted(r), _count).alias("p")))
+    met = rows.withColumn("_r", F.explode_outer(F.when(F.size("_held") > 0, F.filter(tried, lambda r: F.size(r["p"]) > 1))))
+    before, inside = F.filter("_r.p", lambda x, i: i % 2 == 0), F.filter("_r.p", lambda x, i: i % 2 == 1)
+    cells = F.zip_with(F.slice(before, F.lit(1), F.size(inside)), inside, lambda x, y: F.struct(x.alias("before"), y.alias("words")))
+    listed = met.select("_row", key, "n_words", "_r.rule", "_r.label", "_r.level", F.when(F.col("_r").isNotNull(), cells).alias("_c"))
+    return listed.select("_row", key, "n_words", "rule", "label", "level", F.posexplode_outer("_c").alias("at", "_c")).select("_row", key, "n_words", "rule", "label", "level", "at", "_c.before", "_c.words")
 
 
 def resolved(found: DataFrame) -> DataFrame:
