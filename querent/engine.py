@@ -76,17 +76,17 @@ class Database:
         return reduce(DataFrame.unionByName, made).select(*KEYS, "value")
 
     def build_indexes(self, profiles: DataFrame, path: str, limit: int = 10_000, overwrite: bool = False) -> None:
-        """Vectors of profile texts, exact variants and bands, as Parquet under a path; existing ones stay."""
+        """Vectors of profile texts, exact variants, shingles and bands, as Parquet under a path; existing ones stay."""
         ship(self.spark)
         values = self.values(limit)
-        tables = {"vectors": profiles.select("db_id", *KEYS, "type", "is_pk", "profile_text", vector.hashed(F.col("profile_text")).alias("vector")), "variants": lookup.variant_index(values), "bands": lookup.column_bands(values), "values": values}
+        tables = {"vectors": profiles.select("db_id", *KEYS, "type", "is_pk", "profile_text", vector.hashed(F.col("profile_text")).alias("vector")), "variants": lookup.variant_index(values), "bands": lookup.column_bands(values), "shingles": lookup.shingle_index(values), "values": values}
         for name, df in tables.items():
             if overwrite or not files.exists(self.spark, f"{path}/{name}"):
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def has_indexes(spark: SparkSession, path: str) -> bool:
-        return all(files.exists(spark, f"{path}/{n}") for n in ("vectors", "variants", "bands", "values"))
+        return all(files.exists(spark, f"{path}/{n}") for n in ("vectors", "variants", "bands", "shingles", "values"))
 
     # Linking
 
@@ -99,7 +99,7 @@ class Database:
         near = vector.top_k(asked, vectors.select("row_id", "vector"), k).join(vectors.select("row_id", *KEYS), "row_id").select(F.col("query_id").alias(Q), *KEYS)
         said = questions.select(Q, F.explode(text.extract_literals(F.col("question"))).alias("literal"))
         exact = lookup.exact_matches(said, read("variants")).select("literal", *KEYS)
-        approximate = lookup.literal_bands(said).join(read("bands"), ["band", "band_hash"]).select("literal", *KEYS).distinct()
+        approximate = lookup.contained(said.join(exact, "literal", "left_anti"), read("shingles")).select("literal", *KEYS)
         held = said.join(lookup.exact_else(exact, approximate), "literal").select(Q, *KEYS)
         return link.focus(near, held, self.catalog)
 

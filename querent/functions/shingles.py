@@ -9,9 +9,16 @@ PERMUTATIONS, BANDS, ROWS = 128, 37, 3
 
 
 def kshingles(text: Column, k: int = 3) -> Column:
-    """All overlapping k-grams; a shorter text is its own shingle; null and empty have none."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1)))
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(text, i, F.lit(k))))
+    """All overlapping k-grams; a shorter text is its own shingle; null and empty have none.
+
+    Characters are zipped with themselves moved by one place k - 1 times: a substring at place i would be
+    sought from the text's begin, which takes the square of a long text's length."""
+    chars = F.split(text, "")
+    grams = chars
+    for i in range(1, k):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(i + 1), F.greatest(F.length(text), F.lit(1))), lambda x, y: F.concat(x, y))
+    whole = F.filter(grams, lambda g: g.isNotNull())
+    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).when(F.length(text) <= k, F.array(text)).otherwise(whole)
 
 
 def jaccard(a: Column, b: Column) -> Column:

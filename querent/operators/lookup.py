@@ -1,8 +1,8 @@
-"""From literals to the columns that hold them: exact lookup on value variants, else least-hash bands."""
+"""From literals to the columns that hold them: exact lookup on value variants, else containment of shingles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.functions.shingles import bands, kshingles, signatures
@@ -40,10 +40,40 @@ def band_candidates(literals: DataFrame, values: DataFrame) -> DataFrame:
     return literal_bands(literals).join(column_bands(values), ["band", "band_hash"]).select("literal", *KEYS).distinct()
 
 
+def shingle_index(values: DataFrame, k: int = 3) -> DataFrame:
+    """``shingle, table, column, columns``: the distinct shingles of each column's lower-cased values, and how many
+    columns hold the shingle. It grows with the alphabet and the columns, not with the rows: repeats are
+    dropped in every task before the shuffle."""
+    held = values.select(*KEYS, F.explode(kshingles(F.lower(F.trim("value")), k)).alias("shingle")).distinct()
+    return held.withColumn("columns", F.count("*").over(Window.partitionBy("shingle"))).select("shingle", *KEYS, "columns")
+
+
+def contained(literals: DataFrame, index: DataFrame, percent: int = 80, k: int = 3) -> DataFrame:
+    """``literal, table, column, shared, size``: columns whose shingles hold at least ``percent`` of a literal's.
+
+    The share is of the literal, not of the union, which for a short literal and a whole column is next to
+    nothing; so likeness of sets, and bands tuned to it, can't find them. A literal of ``size`` shingles, of
+    which ``need`` must be held, has one of its rarest size - need + 1 in common with every column that
+    is to be found: only these meet the index to find candidates (a prefix filter), and only candidates are
+    counted in full. The result is exact. Nulls and blanks have no shingles and find nothing; literals that
+    differ in case or outer blanks are kept apart but find the same."""
+    own = literals.select("literal").distinct().select("literal", F.explode(F.array_distinct(kshingles(F.lower(F.trim("literal")), k))).alias("shingle"))
+    rare = Window.partitionBy("literal").orderBy(F.coalesce("columns", F.lit(0)), "shingle")
+    known = own.join(index.select("shingle", "columns").distinct(), "shingle", "left")
+    known = known.withColumn("place", F.row_number().over(rare)).withColumn("size", F.count("*").over(Window.partitionBy("literal")))
+    known = known.withColumn("need", F.floor((F.col("size") * percent + 99) / 100).cast("int"))
+    prefix = known.filter("columns is not null and place <= size - need + 1").select("literal", "shingle")
+    near = prefix.join(index.select("shingle", *KEYS), "shingle").select("literal", *KEYS).distinct()
+    asked = known.filter("columns is not null").select("literal", "shingle", "size", "need")
+    met = near.join(asked, "literal").join(index.select("shingle", *KEYS), ["shingle", *KEYS])
+    found = met.groupBy("literal", *KEYS).agg(F.count("*").cast("int").alias("shared"), F.first("size").cast("int").alias("size"), F.first("need").alias("need"))
+    return found.filter("shared >= need").drop("need")
+
+
 def matches(literals: DataFrame, values: DataFrame) -> DataFrame:
-    """``literal, table, column, match_type``: exact matches; for literals without any, candidates of bands."""
+    """``literal, table, column, match_type``: exact matches; for literals without any, columns that contain them."""
     exact = exact_matches(literals, variant_index(values)).select("literal", *KEYS)
-    near = band_candidates(literals.join(exact.select("literal").distinct(), "literal", "left_anti"), values)
+    near = contained(literals.join(exact.select("literal").distinct(), "literal", "left_anti"), shingle_index(values)).select("literal", *KEYS)
     return exact.withColumn("match_type", F.lit("exact")).unionByName(near.withColumn("match_type", F.lit("approximate")))
 
 

@@ -19,6 +19,7 @@ class Node:
     jvm: Any
     plans: list[Node] = field(default_factory=list)
     exprs: list[Node] = field(default_factory=list)
+    is_plan: bool = False
 
     def walk(self) -> Iterator[Node]:
         """This node and all below it, through subqueries and named queries."""
@@ -52,7 +53,7 @@ def _expr(e: Any) -> Node:
 
 def _plan(p: Any) -> Node:
     kind = p.getClass().getSimpleName()
-    n = Node(kind, *_place(p), p, plans=[_plan(c) for c in _seq(p.children())], exprs=[_expr(e) for e in _seq(p.expressions())])
+    n = Node(kind, *_place(p), p, plans=[_plan(c) for c in _seq(p.children())], exprs=[_expr(e) for e in _seq(p.expressions())], is_plan=True)
     if kind == "UnresolvedWith":
         n.plans += [_plan(r._2()) for r in _seq(p.cteRelations())]
     return n
@@ -63,13 +64,19 @@ def parse(spark: SparkSession, sql: str) -> Node:
     return _plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
 
 
+#: Plan nodes that write, run programs or hold scripts without being commands of Spark's own kind.
+_WRITES = {"InsertIntoStatement", "InsertIntoDir", "ScriptTransformation", "CompoundBody", "CompoundPlanStatement"}
+
+
 def is_query(spark: SparkSession, sql: str) -> bool:
-    """Whether the text is one statement that only reads."""
+    """Whether the text is one statement that only reads: no node of its plan, subqueries and named queries
+    included, is a command or writes. What expressions are called plays no part."""
     try:
-        kinds = {n.kind for n in parse(spark, sql).walk()}
+        root = parse(spark, sql)
     except Exception:  # noqa: BLE001  whatever the parser refuses is no query
         return False
-    return not any(k.endswith("Command") or k.startswith(("Create", "Drop", "Insert", "Delete", "Update", "Merge", "Alter", "Replace", "Set", "Truncate", "Overwrite", "Append", "Load", "Cache", "Uncache", "Refresh", "Add", "Analyze", "Use", "Execute", "Call")) and k != "SetOperation" for k in kinds)
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command", True, spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    return not any(n.kind in _WRITES or (n.is_plan and command.isInstance(n.jvm)) for n in root.walk())
 
 
 def name_parts(node: Node) -> list[str]:

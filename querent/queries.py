@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -373,6 +374,32 @@ def literal_lookup(spark: SparkSession, path: str) -> DataFrame:
     return lookup.matches(literals(spark), column_values(spark, path))
 
 
+#: Every text column of the data set, and of which the values are literals that columns are sought for.
+_TEXTS = [(a, c) for a, cs in {"benchmark": "text", "conversations": "role text", "customer": "c_name c_mktsegment", "documents": "text lang source", "events": "event_type props", "lineitem": "l_returnflag l_linestatus", "nation": "n_name", "orders": "o_orderstatus o_orderpriority", "pages": "url html", "part": "p_name p_brand p_type", "region": "r_name", "supplier": "s_name"}.items() for c in cs.split()]
+_ASKED = [("part", "p_type"), ("part", "p_brand"), ("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"), ("orders", "o_orderpriority"), ("events", "event_type"), ("pages", "url"), ("documents", "source")]
+
+
+def text_values(spark: SparkSession, path: str, columns: list[tuple[str, str]] = _TEXTS) -> DataFrame:
+    """``table, column, value`` of text columns; equal values are dropped where the index is made."""
+    rows = [t(spark, path, a).select(F.lit(a).alias("table"), F.lit(c).alias("column"), F.col(c).alias("value")) for a, c in columns]
+    return reduce(DataFrame.unionAll, rows)
+
+
+_SPOILT_SQL = " UNION ".join(f"SELECT lower({c}[1:3]) || {c}[5:] || 'q' AS literal FROM {a}" for a, c in _ASKED)
+_SHINGLES_SQL = "unnest(CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, greatest(length({x}) - 2, 1) + 1), lambda i: substring({x}, i::INTEGER, 3))) END)"
+_HELD_SQL = " UNION ".join(f"SELECT '{a}' AS \"table\", '{c}' AS \"column\", {_SHINGLES_SQL.format(x=f'lower(trim({c}))')} AS shingle FROM {a} WHERE {c} IS NOT NULL" for a, c in _TEXTS)
+
+
+@query(f"""WITH held AS ({_HELD_SQL}), l AS ({_SPOILT_SQL}), s AS (SELECT literal, {_SHINGLES_SQL.format(x='lower(trim(literal))')} AS shingle FROM l),
+n AS (SELECT literal, count(*) AS size FROM s GROUP BY 1)
+SELECT literal, "table", "column", count(*)::INTEGER AS shared, any_value(size)::INTEGER AS size FROM s JOIN n USING (literal) JOIN held USING (shingle) GROUP BY ALL HAVING count(*) * 100 >= any_value(size) * 80""")
+def literal_containment(spark: SparkSession, path: str) -> DataFrame:
+    """Misspelt values of nine columns (the fourth letter gone, a letter more) against all text columns."""
+    spoilt = F.concat(F.lower(F.substring("value", 1, 3)), F.substring(F.col("value"), F.lit(5), F.lit(1 << 30)), F.lit("q"))
+    asked = text_values(spark, path, _ASKED).filter("value is not null").select(spoilt.alias("literal"))
+    return lookup.contained(asked, lookup.shingle_index(text_values(spark, path)))
+
+
 @query("SELECT c_custkey AS query_id, c_mktsegment AS literal, 'customer' AS \"table\", 'c_mktsegment' AS \"column\" FROM customer WHERE c_nationkey >= 12")
 def missing_literal_columns(spark: SparkSession, path: str) -> DataFrame:
     c = t(spark, path, "customer")

@@ -219,3 +219,31 @@ def test_incremental_generation(spark, tmp_path):
     (tmp_path / "in" / "2.json").write_text('{"id": 1, "system": "s", "user": "u"}\n{"id": 2, "system": "s", "user": "u"}\n')
     go()
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "id", "text") == [(1, "ok"), (2, "ok")]
+
+
+def test_containment_equals_brute_force(spark):
+    """Every column that holds at least 80 of 100 of a literal's shingles is found, and no other."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcde é") for _ in range(n))
+    values = [("t", f"c{i % 12}", word(rng.randrange(0, 30))) for i in range(400)] + [("t", "n", None)]
+    asked = [word(rng.randrange(0, 12)) for _ in range(150)] + [v[2][3:17] + "b" for v in values[:60]] + [None, "", " ", "ab"]
+    grams = lambda s: {s[i : i + 3] for i in range(max(1, len(s) - 2))} if s else set()
+    clean = lambda s: (s or "").lower().strip(" ")
+    held: dict[str, set] = {}
+    for _, c, v in values:
+        held.setdefault(c, set()).update(grams(clean(v)))
+    want = {(x, c) for x in asked if x is not None for c, h in held.items() if grams(clean(x)) and len(grams(clean(x)) & h) * 100 >= 80 * len(grams(clean(x)))}
+    index = lookup.shingle_index(spark.createDataFrame(values, "table string, column string, value string")).cache()
+    got = lookup.contained(spark.createDataFrame([(x,) for x in asked], "literal string"), index)
+    assert {(r.literal, r.column) for r in got.collect()} == want and len(want) > 100
+
+
+def test_long_texts_have_all_shingles(spark):
+    from querent.functions.shingles import kshingles
+
+    text = "añ🙂" * 50_000
+    got = spark.createDataFrame([(text,), ("ab",), ("abc",)], "t string").select(kshingles(F.col("t")).alias("g")).collect()
+    assert len(got[0].g) == 149_998 and got[0].g[:3] == ["añ🙂", "ñ🙂a", "🙂añ"]
+    assert (got[1].g, got[2].g) == (["ab"], ["abc"])

@@ -55,8 +55,29 @@ def test_lineage(spark, sql, want):
     assert {f for f in found if f != ("a", "x")} == want
 
 
-def test_only_queries(spark):
-    assert [sqljvm.is_query(spark, q) for q in ("SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "DROP TABLE x", "INSERT INTO x SELECT 1", "CREATE TABLE x AS SELECT 1", "DELETE FROM x", "nonsense")] == [True, True, False, False, False, False, False]
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "SELECT 1 + 2 - 3 || 'x'", "SELECT current_date + INTERVAL 1 DAY", "SELECT CASE WHEN 1 + 1 = 2 THEN replace('a', 'a', 'b') END",
+        "SELECT * FROM orders WHERE (o_orderkey, o_custkey) IN (SELECT 1, 2)", "SELECT 1 UNION SELECT 2 EXCEPT SELECT 3", "SELECT add_months(current_date, 1), date_add(current_date, 1)",
+        "SELECT sum(o_totalprice) OVER (PARTITION BY o_custkey) FROM orders", "VALUES (1), (2)", "SELECT * FROM orders TABLESAMPLE (1 ROWS)",
+    ],
+)
+def test_reads(spark, sql):
+    assert sqljvm.is_query(spark, sql)
+    assert execute.run(spark, sql).ok
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "DROP TABLE x", "INSERT INTO x SELECT 1", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "CREATE TABLE x AS SELECT 1", "CREATE VIEW v AS SELECT 1", "DELETE FROM x", "UPDATE x SET a = 1",
+        "MERGE INTO x USING y ON x.a = y.a WHEN MATCHED THEN DELETE", "ALTER TABLE x ADD COLUMN c INT", "TRUNCATE TABLE x", "SET a = 1", "CACHE TABLE x", "REFRESH TABLE x", "USE y", "ADD JAR 'x'",
+        "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT 1", "SELECT TRANSFORM (o_custkey) USING 'cat' AS (a) FROM orders", "BEGIN SELECT 1; END", "nonsense", "SELECT 1; SELECT 2",
+    ],
+)
+def test_writes_are_refused(spark, sql):
+    assert not sqljvm.is_query(spark, sql)
 
 
 def test_run(spark):

@@ -77,7 +77,7 @@ def test_extract_sql(spark, raw, want):
     from querent.operators.correct import statement
 
     assert one(spark, T.extract_sql, raw) == want
-    assert statement(raw) == want
+    assert statement(spark, raw) == want
 
 
 @pytest.mark.parametrize(
