@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from querent.functions import render, text
 from querent.functions.shingles import jaccard, kshingles, signatures
-from querent.operators import evaluate, link, lookup, profile, vector, vote
+from querent.operators import ann, evaluate, link, lookup, profile, vector, vote
 from querent.plans import dialect, execute, lineage, repair
 from querent.sources import catalog as cat
+from querent.session import scratch
 from querent.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -419,6 +421,29 @@ def embedding_topk_cosine(spark: SparkSession, path: str) -> DataFrame:
     return vector.top_k(q, e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector")), 10).withColumn("score", F.round("score", 4))
 
 
+def _indexed(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """The query set of ``embeddings`` and the path of an inverted file of all its rows."""
+    e = t(spark, path, "embeddings")
+    folder = f"{scratch(spark)}/ann-{uuid.uuid4().hex}"
+    ann.build(e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector")), folder, cells=32)
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), folder
+
+
+@query()
+def embedding_ann_topk(spark: SparkSession, path: str) -> DataFrame:
+    """Ten neighbours of each query by an inverted file, probed as deep as a sample of its rows asks for."""
+    q, folder = _indexed(spark, path)
+    return ann.search(q, folder, 10, ann.probes_for(spark, folder)).withColumn("score", F.round("score", 4))
+
+
+@query("SELECT count(*)::BIGINT AS n_queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def embedding_ann_recall(spark: SparkSession, path: str) -> DataFrame:
+    """Whether the inverted file finds nine of ten of the exact neighbours."""
+    q, folder = _indexed(spark, path)
+    rows = t(spark, path, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    return ann.recall(ann.search(q, folder, 10, ann.probes_for(spark, folder)), vector.top_k(q, rows, 10)).select("n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(f"""SELECT query_id, row_id, round(score, 4) AS score, rank FROM (SELECT q.vec_id AS query_id, r.vec_id AS row_id, {_COS} AS score,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, r.vec_id)::INTEGER AS rank FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0 AND q.label <> r.label) WHERE rank <= 8""")
 def fewshot_topk_excluding_self(spark: SparkSession, path: str) -> DataFrame:

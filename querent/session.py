@@ -22,3 +22,8 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     sc.addPyFile(target)
     sc._querent_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: spark.checkpoint.dir, else the warehouse. Never a machine's own on a cluster."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
