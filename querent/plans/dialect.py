@@ -13,8 +13,8 @@ _PARTS = re.compile(r"('(?:[^']|'')*')")
 _STRFTIME = re.compile(r"(?i)\bSTRFTIME\s*\(\s*('(?:[^']|'')*')\s*,")
 
 
-def translate(sql: str) -> str:
-    """IIF, STRFTIME and double-quoted names rewritten; LIKE made blind to case; CAST made forgiving."""
+def translate(sql: str, casts: bool = True) -> str:
+    """IIF, STRFTIME and double-quoted names rewritten; LIKE made blind to case; with ``casts``, CAST made forgiving."""
 
     def dated(m: re.Match) -> str:
         pattern = m[1]
@@ -35,7 +35,7 @@ def translate(sql: str) -> str:
             for a, b in FUNCTIONS.items():
                 part = re.sub(rf"(?i)\b{a}\s*\(", f"{b}(", part)
             part = re.sub(r"(?i)\bLIKE\b", "ILIKE", part)
-            part = re.sub(r"(?i)\bCAST\s*\(", "try_cast(", part)
+            part = re.sub(r"(?i)\bCAST\s*\(", "try_cast(", part) if casts else part
             part = re.sub(r"(?i)\bAS\s+(REAL|NUMERIC)\s*\)", "AS DOUBLE)", part)
             part = re.sub(r"(?i)\bAS\s+TEXT\s*\)", "AS STRING)", part)
             part = re.sub(r"(?i)\bAS\s+INTEGER\s*\)", "AS BIGINT)", part)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from querent.functions import render, text
 from querent.functions.shingles import jaccard, kshingles, signatures
 from querent.operators import ann, evaluate, link, lookup, profile, vector, vote
-from querent.plans import dialect, execute, lineage, repair
+from querent.plans import dialect, execute, lineage, repair, typed
 from querent.sources import catalog as cat
 from querent.session import scratch
 from querent.sources import files
@@ -515,6 +515,39 @@ def dialect_translate(spark: SparkSession, path: str) -> DataFrame:
     return spark.sql(dialect.translate("SELECT STRFTIME('%Y-%m', o_orderdate) AS \"month\", COUNT(*) AS n FROM orders WHERE o_orderpriority LIKE '%urgent%' GROUP BY STRFTIME('%Y-%m', o_orderdate)"))
 
 
+def _typed(spark: SparkSession, path: str, sql: str, *tables: str) -> DataFrame:
+    """A statement of the lenient dialect over some tables, rewritten by their types."""
+    cat.register(spark, path, list(tables))
+    return spark.sql(typed.rewrite(spark, sql, {n: dict(spark.table(n).dtypes) for n in tables}))
+
+
+@query("SELECT o_orderkey, o_custkey // 7 AS whole, o_totalprice / 7 AS share, CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE o_orderkey // (o_custkey % 2) END AS zero, (o_orderkey + o_custkey) // 3 // 2 AS twice, o_custkey / 2.0 AS half FROM orders")
+def dialect_division(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(spark, path, "SELECT o_orderkey, o_custkey / 7 AS whole, o_totalprice / 7 AS share, o_orderkey / (o_custkey % 2) AS zero, (o_orderkey + o_custkey) / 3 / 2 AS twice, o_custkey / 2.0 AS half FROM orders", "orders")
+
+
+@query("SELECT o_orderkey, greatest(o_custkey, o_orderkey, 500) AS most, least(o_totalprice, o_custkey) AS least, CASE WHEN o_orderstatus <> 'F' THEN greatest(o_custkey, 100) END AS gone FROM orders")
+def dialect_scalar_extremes(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(spark, path, "SELECT o_orderkey, MAX(o_custkey, o_orderkey, 500) AS most, MIN(o_totalprice, o_custkey) AS least, MAX(IIF(o_orderstatus = 'F', NULL, o_custkey), 100) AS gone FROM orders", "orders")
+
+
+@query("SELECT p_partkey, 0.0::DOUBLE AS none, substr(p_brand, 7)::BIGINT AS brand, p_size + 0.5::DOUBLE AS half, p_size::BIGINT AS lead, p_size::VARCHAR AS shown FROM part")
+def dialect_casts(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(spark, path, "SELECT p_partkey, CAST(p_brand AS REAL) AS none, CAST(SUBSTR(p_brand, 7) AS INTEGER) AS brand, CAST(' ' || p_size || '.5 kg' AS REAL) AS half, CAST(p_size || '.9e3x' AS INTEGER) AS lead, CAST(p_size AS TEXT) AS shown FROM part", "part")
+
+
+@query("SELECT c_custkey, false AS never, c_custkey = 5 AS number, false AS word, c_mktsegment = '5' AS text, c_custkey > 700 AS more, true AS before FROM customer")
+def dialect_comparisons(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(spark, path, "SELECT c_custkey, 1 = '1' AS never, c_custkey = '5' AS number, c_custkey = 'five' AS word, c_mktsegment = 5 AS text, c_custkey > '700' AS more, c_custkey < 'word' AS before FROM customer", "customer")
+
+
+@query("""SELECT l_returnflag, l_linestatus, max(l_orderkey * 100 + l_linenumber) AS top, arg_max(l_extendedprice, l_orderkey * 100 + l_linenumber) AS l_extendedprice FROM lineitem GROUP BY 1, 2
+UNION ALL SELECT 'all', min(l_linestatus), count(*), min(l_extendedprice) FROM lineitem""")
+def dialect_bare_columns(spark: SparkSession, path: str) -> DataFrame:
+    sql = "SELECT l_returnflag, l_linestatus, MAX(l_orderkey * 100 + l_linenumber) AS top, l_extendedprice FROM lineitem GROUP BY l_returnflag, 2 UNION ALL SELECT 'all', l_linestatus, COUNT(*), l_extendedprice FROM lineitem"
+    return _typed(spark, path, sql, "lineitem")
+
+
 @query("WITH a AS (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey FROM supplier) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b))::BIGINT AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a))::BIGINT AS only_b, NOT EXISTS (SELECT * FROM a EXCEPT SELECT * FROM b) AND NOT EXISTS (SELECT * FROM b EXCEPT SELECT * FROM a) AS equal")
 def resultset_equality(spark: SparkSession, path: str) -> DataFrame:
     return execute.resultset_equality(t(spark, path, "customer").filter("c_acctbal > 9000").select("c_nationkey"), t(spark, path, "supplier").select("s_nationkey"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from querent.plans import dialect, execute, lineage, repair, sqljvm
+from querent.plans import dialect, execute, lineage, repair, sqljvm, typed
 from querent.sources.catalog import register
 
 SCHEMA = {"orders": ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"], "customer": ["c_custkey", "c_name"], "a": ["id", "x"], "b": ["id", "y"]}
@@ -99,3 +99,32 @@ def test_equality(spark):
 def test_dialect(spark):
     assert dialect.translate("SELECT IIF(a > 1, 'IIF(', b) FROM t WHERE \"my col\" LIKE 'A%'") == "SELECT if(a > 1, 'IIF(', b) FROM t WHERE `my col` ILIKE 'A%'"
     assert spark.sql(dialect.translate("SELECT STRFTIME('%Y', MAX(o_orderdate)) AS y, CAST('abc' AS REAL) AS n FROM orders")).first().n is None
+
+
+TYPES = {"t": {"i": "int", "j": "bigint", "r": "double", "s": "string"}, "u": {"i": "string", "k": "int"}}
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("SELECT 5 / 2", 2), ("SELECT -5 / 2", -2), ("SELECT 5 / 2.0", 2.5), ("SELECT 5 / 0", None), ("SELECT 5.0 / 0", None), ("SELECT 5 % 0", None), ("SELECT 7 / 2 / 2", 1), ("SELECT (1 + 6) / (1 + 1)", 3),
+        ("SELECT COUNT(*) / 2 FROM t", 1), ("SELECT SUM(i) / COUNT(*) FROM t", 2), ("SELECT SUM(r) / COUNT(*) FROM t", 2.25), ("SELECT x / 2 FROM (SELECT i AS x FROM t WHERE i = 3)", 1), ("SELECT (SELECT MAX(i) FROM t) / 2", 1),
+        ("SELECT MAX(1, 3, 2)", 3), ("SELECT MIN(1, NULL)", None), ("SELECT MAX(i) FROM t", 3), ("SELECT MAX(MIN(i, 2), 1) FROM t WHERE i = 3", 2),
+        ("SELECT CAST('abc' AS REAL)", 0.0), ("SELECT CAST('12.9kg' AS INTEGER)", 12), ("SELECT CAST(' 1.5e2x' AS REAL)", 150.0), ("SELECT CAST(NULL AS REAL)", None), ("SELECT CAST(2.9 AS INTEGER)", 2), ("SELECT CAST(CAST('7x' AS INTEGER) AS TEXT)", "7"),
+        ("SELECT 1 = '1'", False), ("SELECT 1 < '0'", True), ("SELECT '0' < 1", False), ("SELECT i = '3' FROM t WHERE i = 3", True), ("SELECT s = 10 FROM t WHERE i = 1", True), ("SELECT COUNT(*) FROM t WHERE i = 'x'", 0), ("SELECT 1 + 1 = '2'", False),
+        ("SELECT s FROM (SELECT s, MAX(i) FROM t)", "c"), ("SELECT s FROM (SELECT s, MIN(i) FROM t)", "10"), ("SELECT s FROM (SELECT s, COUNT(*) FROM t)", "10"), ("SELECT COUNT(*) FROM (SELECT i AS g, s FROM t GROUP BY g, s)", 2),
+        ("SELECT ROW_NUMBER() OVER (ORDER BY i) + i / 2 FROM t WHERE i = 3", 2), ("SELECT i FROM t WHERE s = '1 = ''1'' / MAX(1, 2)'", "none"),
+    ],
+)
+def test_typed_dialect(spark, sql, want):
+    spark.createDataFrame([(1, 4, 1.5, "10"), (3, 2, 3.0, "c")], "i int, j bigint, r double, s string").createOrReplaceTempView("t")
+    row = spark.sql(typed.rewrite(spark, sql, TYPES)).first()
+    assert (row[0] if row else "none") == want
+
+
+def test_unknown_types_and_broken_statements_stay(spark):
+    assert typed.rewrite(spark, "SELECT a / b FROM nowhere", TYPES) == "SELECT a / b FROM nowhere"
+    assert typed.rewrite(spark, "SELECT u.i / t.i FROM t JOIN u ON u.k = t.j", TYPES) == "SELECT u.i / t.i FROM t JOIN u ON u.k = t.j"
+    assert typed.rewrite(spark, "SELEC 5 / 2", TYPES) == "SELEC 5 / 2"
+    assert typed.reserved(spark, "SELECT select FROM from WHERE where") and not typed.reserved(spark, "SELECT a FROM t")
+    assert spark.conf.get("spark.sql.ansi.enforceReservedKeywords", "false") == "false"
