@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from querent.functions import render, text
 from querent.functions.shingles import jaccard, kshingles, signatures
-from querent.operators import ann, evaluate, link, lookup, profile, vector, vote
+from querent.operators import ann, evaluate, link, lookup, profile, sketch, vector, vote
 from querent.plans import dialect, execute, lineage, repair, typed
 from querent.sources import catalog as cat
 from querent.session import scratch
@@ -158,6 +158,41 @@ def profile_common_prefix(spark: SparkSession, path: str) -> DataFrame:
     return profile.common_prefix(profile.samples(t(spark, path, "customer"), "c_custkey", 100))
 
 
+def _batches(spark: SparkSession, path: str, table: str, column: str, values: list[str]) -> DataFrame:
+    """Merged sketches of a table that comes in a batch for each value of a column."""
+    df = t(spark, path, table)
+    return sketch.merged(reduce(DataFrame.unionByName, [sketch.sketch(df.filter(F.col(column) == v)) for v in values]))
+
+
+@query(_each(names("lineitem"), "SELECT '{c}' AS \"column\", count(*)::BIGINT AS n_rows, count(*) FILTER ({c} IS NULL)::BIGINT AS null_count, min({c})::VARCHAR AS min, max({c})::VARCHAR AS max, true AS distinct_ok FROM lineitem"))
+def sketch_merged_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Three batches' sketches as one profile; distinct counts within their bound of the exact ones."""
+    made = sketch.estimates(_batches(spark, path, "lineitem", "l_returnflag", ["A", "N", "R"]))
+    exact = profile.distinct_counts(t(spark, path, "lineitem")).withColumnRenamed("distinct_count", "exact")
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.05 * F.col("exact") + 0.5
+    return made.join(exact, "column").select("column", "n_rows", "null_count", "min", "max", near.alias("distinct_ok"))
+
+
+@query(_each(_NUMERIC, "SELECT '{c}' AS \"column\", round(avg({c}::DOUBLE), 4) AS avg, round(stddev_pop({c}::DOUBLE), 4) AS std, true AS median_ok FROM lineitem"))
+def sketch_moments_quantiles(spark: SparkSession, path: str) -> DataFrame:
+    """Mean and deviation of merged batches, and whether a hundredth of the rows at most parts the median from the exact one."""
+    df = t(spark, path, "lineitem")
+    made = sketch.estimates(_batches(spark, path, "lineitem", "l_returnflag", ["A", "N", "R"])).filter("quantiles is not null")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in _NUMERIC])
+    met = df.select(F.inline(cells)).join(F.broadcast(made.select("column", F.col("quantiles")[1].alias("m"))), "column")  # a row a column
+    near = met.groupBy("column").agg(((F.avg((F.col("x") < F.col("m")).cast("int")) <= 0.51) & (F.avg((F.col("x") <= F.col("m")).cast("int")) >= 0.49)).alias("median_ok"))
+    return made.join(near, "column").select("column", "avg", "std", "median_ok")
+
+
+@query(_TOP.format(h=_each(["p_brand", "p_type", "p_size"], _HIST.format(t="part")), k=5))
+def sketch_top_values(spark: SparkSession, path: str) -> DataFrame:
+    """The most frequent values of two batches, parted by the key."""
+    df = t(spark, path, "part")
+    made = sketch.estimates(sketch.merged(sketch.sketch(df.filter("p_partkey % 3 = 0")).unionByName(sketch.sketch(df.filter("p_partkey % 3 <> 0")))))
+    top = made.filter(F.col("column").isin("p_brand", "p_type", "p_size")).select("column", F.posexplode("top_values").alias("rank", "x"))
+    return top.select("column", "x.value", "x.n", (F.col("rank") + 1).alias("rank"))
+
+
 def _long_sql(table: str) -> str:
     out = []
     for c, kind in (x.split(":") for x in COLUMNS[table].split()):
