@@ -14,7 +14,7 @@
 
 The vocabulary is the benchmark's: its size follows the benchmark, not the corpus. Windows are
 16-word blocks taken 2, 4 or 8 at a time, so that every item up to 112 words lies whole in a window
-of its class; longer items are searched by their pieces of 112 words. A window with fewer than
+of its class; longer items are searched by overlapping pieces of 40 words, one of which any 56 words in a row hold. A window with fewer than
 ``SHARED`` weighted words can't hold half an item's rarest words and is not folded in.
 
 Items that stand in a text word for word are found apart from the space, by one of their words kept;
@@ -39,6 +39,9 @@ from querent.llm.common import ship, small_batches
 from querent.llm.names import Lookup, words
 
 BLOCK, RANK, EXTRA = 16, 256, 8
+#: Words of an item that is searched whole; of a piece of a longer one, and between the beginnings of two
+#: pieces: every run of 56 words of a long item holds a whole piece.
+WHOLE, PIECE, STRIDE = 112, 40, 16
 SIZES = (2, 4, 8)
 COMMON, OWN, SHARED = 0.005, 6, 3
 COSINE = 0.5
@@ -90,11 +93,13 @@ class Items:
             own, answer = words_of(text), answer_of(text or "")
             if not own:
                 continue
-            for k in range(0, max(1, len(own) - 96), 96):
-                piece = own[k : k + 112]
+            # pieces cover every word; the last one ends at the item's end, where its answer stands
+            size, last = (len(own), 0) if len(own) <= WHOLE else (PIECE, len(own) - PIECE)
+            for k in [*range(0, last, STRIDE), last]:
+                piece = own[k : k + size]
                 self.ids.append(item)
                 self.words.append(piece)
-                self.answers.append(answer if len(own) <= 112 else piece[-8:])
+                self.answers.append(answer[-size:] if k == last else piece[-8:])
         # 0: found word for word only
         self.size = [next((s for s in SIZES if (s - 1) * BLOCK >= len(w)), SIZES[-1]) if len(w) >= LEAST else 0 for w in self.words]
 

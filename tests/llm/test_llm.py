@@ -376,6 +376,22 @@ def test_foreign_text_is_read_in_bounded_chunks():
     assert sum(sizes) == 96 * -(-60_000 // 64) and max(sizes) < 2 * decontam.CHUNK
 
 
+def test_decontamination_finds_halves_of_long_items(spark):
+    """Items of 113 to 300 words, and texts with any half of one: the beginning, the middle, the end."""
+    sizes = [113, 120, 150, 192, 200, 208, 224, 288, 289, 300]
+    items = [prose(7000 + i, 400).split()[:n] for i, n in enumerate(sizes)]
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    held, texts = {}, []
+    for i, x in enumerate(items):
+        half = -(-len(x) // 2)
+        for begin in sorted({0, (len(x) - half) // 3, (len(x) - half) // 2, len(x) - half}):
+            held[len(texts)] = i
+            texts.append(f"{prose(8000 + len(texts), 150)} {' '.join(x[begin : begin + half])} {prose(9000 + len(texts), 150)}")
+    texts += [prose(10000 + i, 300) for i in range(50)]
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs(spark, texts), b).collect()}
+    assert got == set(held.items())
+
+
 def test_decontamination_edges(spark):
     d, b = docs(spark, EDGE), spark.createDataFrame([], "item_id long, text string")
     assert decontam.matches(d, b).count() == 0 and decontam.clean(d, b).count() == len(EDGE)
