@@ -576,11 +576,12 @@ def dialect_comparisons(spark: SparkSession, path: str) -> DataFrame:
     return _typed(spark, path, "SELECT c_custkey, 1 = '1' AS never, c_custkey = '5' AS number, c_custkey = 'five' AS word, c_mktsegment = 5 AS text, c_custkey > '700' AS more, c_custkey < 'word' AS before FROM customer", "customer")
 
 
-@query("""SELECT l_returnflag, l_linestatus, max(l_orderkey * 100 + l_linenumber) AS top, arg_max(l_extendedprice, l_orderkey * 100 + l_linenumber) AS l_extendedprice FROM lineitem GROUP BY 1, 2
-UNION ALL SELECT 'all', min(l_linestatus), count(*), min(l_extendedprice) FROM lineitem""")
+@query("""SELECT o_orderpriority, o_orderstatus, max(o_orderkey) AS top, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2
+UNION ALL SELECT 'all', min(o_orderstatus), count(*), min(o_totalprice) FROM orders""")
 def dialect_bare_columns(spark: SparkSession, path: str) -> DataFrame:
-    sql = "SELECT l_returnflag, l_linestatus, MAX(l_orderkey * 100 + l_linenumber) AS top, l_extendedprice FROM lineitem GROUP BY l_returnflag, 2 UNION ALL SELECT 'all', l_linestatus, COUNT(*), l_extendedprice FROM lineitem"
-    return _typed(spark, path, sql, "lineitem")
+    """A column beside the only MAX is of its row (the key is unique, so there is one), else the least value."""
+    sql = "SELECT o_orderpriority, o_orderstatus, MAX(o_orderkey) AS top, o_totalprice FROM orders GROUP BY o_orderpriority, 2 UNION ALL SELECT 'all', o_orderstatus, COUNT(*), o_totalprice FROM orders"
+    return _typed(spark, path, sql, "orders")
 
 
 @query("WITH a AS (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey FROM supplier) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b))::BIGINT AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a))::BIGINT AS only_b, NOT EXISTS (SELECT * FROM a EXCEPT SELECT * FROM b) AND NOT EXISTS (SELECT * FROM b EXCEPT SELECT * FROM a) AS equal")
