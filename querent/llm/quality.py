@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -47,21 +48,56 @@ TRUST = 5.0
 STEMS = (4, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))  # of Latin-1
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "blank": b" \t", "line": b"\n", "stop": b".,;:?", "bang": b"!", "mark": b"#$%&*|~^@=<>{}[]\\/_+"}
 _MAP = np.zeros((256, len(_CLASSES)))
 for _i, _c in enumerate(_CLASSES.values()):
     _MAP[list(_c), _i] = 1
 
 
+def spoken(text: str) -> list[str]:
+    """A text's words, lower-cased."""
+    low = text.lower()
+    try:
+        return low.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
+
+
+def measures(text: str, words: list[str], own: set[str]) -> list[float]:
+    """Dense features of a text, of its words and their set."""
+    raw = text.encode("utf-8", "replace")
+    share = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _MAP / max(1, len(raw))
+    again = sum(map(eq, words, words[1:])) / max(1, len(words) - 1)
+    return [*np.minimum(share * 10, 5), math.log1p(len(words)), len(own) / max(1, len(words)), 3 * again, sum(map(len, words)) / max(1, len(words)) / 5]
+
+
+def beginnings(own: set[str], n: int) -> set[str]:
+    return {w[:n] for w in own if len(w) > n}
+
+
 def content(text: str | None) -> tuple[np.ndarray, set[str]]:
     """Dense features of the text, and its set of words and of their beginnings."""
-    raw = (text or "").encode("utf-8", "replace")
-    words = _WORD.findall((text or "").lower())
+    words = spoken(text or "")
     own = set(words)
-    share = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _MAP / max(1, len(raw))
-    again = sum(map(str.__eq__, words, words[1:])) / max(1, len(words) - 1)
-    dense = [*np.minimum(share * 10, 5), math.log1p(len(words)), len(own) / max(1, len(words)), 3 * again, sum(map(len, words)) / max(1, len(words)) / 5]
-    return np.array(dense), own.union(*[{w[:n] + "*" for w in own if len(w) > n} for n in STEMS])
+    return np.array(measures(text or "", words, own)), own.union(*[{w + "*" for w in beginnings(own, n)} for n in STEMS])
+
+
+class Content:
+    """``content`` for a task that needs some of the sparse features only."""
+
+    def __init__(self, heads: tuple[Head, ...]):
+        names = {f for h in heads if not h.constant for f in h.views["A"].names}
+        self.words = {f for f in names if f[-1] != "*"}
+        self.stems = [(n, {f[:-1] for f in names if f[-1] == "*" and len(f) == n + 1}) for n in STEMS]
+
+    def of(self, text: str | None) -> tuple[np.ndarray, set[str]]:
+        words = spoken(text or "")
+        own = set(words)
+        said = own & self.words
+        for n, known in self.stems:
+            said.update([w + "*" for w in known & beginnings(own, n)] if known else ())
+        return np.array(measures(text or "", words, own)), said
 
 
 def metadata(source: str | None, lang: str | None, n_chars: int | None) -> set[str]:
@@ -236,13 +272,10 @@ def confident(docs: DataFrame, heads: list[Head], known: list[set[int]]) -> dict
     def run(batches):
         own, known = sent.value
         best: dict[int, dict[int, tuple]] = {k: {} for k in range(8)}
+        read = Content(own)
         for b in batches:
             hashes, ids = b.column("h").to_pylist(), b.column("doc_id").to_pylist()
-            words = {f for h in own if not h.constant for f in h.views["A"].names}
-            rows = []
-            for t, s, la, n in zip(*[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")], strict=True):
-                dense, said = content(t)
-                rows.append((dense, said & words, metadata(s, la, n)))
+            rows = [(*read.of(t), metadata(s, la, n)) for t, s, la, n in zip(*[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")], strict=True)]
             for k in range(8):
                 head, v = own[k // 4], "AB"[k // 2 % 2]
                 if head.constant or not rows:
@@ -304,15 +337,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Head, Head]:
     return heads[0], heads[1]
 
 
-def judged(heads: tuple[Head, Head], texts: list, sources: list, langs: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
+def judged(heads: tuple[Head, Head], read: Content, texts: list, sources: list, langs: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
     """Quality and toxicity of some documents."""
-    good, toxic = heads
-    words = {f for h in heads if not h.constant for f in h.views["A"].names}
-    rows = []
-    for t, s, la, n in zip(texts, sources, langs, sizes, strict=True):
-        dense, own = content(t)
-        rows.append((dense, own & words, metadata(s, la, n)))
-    return good.score(rows, 0.5), toxic.score(rows, 0.0)
+    rows = [(*read.of(t), metadata(s, la, n)) for t, s, la, n in zip(texts, sources, langs, sizes, strict=True)]
+    return heads[0].score(rows, 0.5), heads[1].score(rows, 0.0)
 
 
 def score(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
@@ -324,8 +352,9 @@ def score(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
     docs = docs.drop("quality_score", "toxic_score", "keep")
 
     def run(batches):
+        read = Content(sent.value)
         for b in batches:
-            q, x = judged(sent.value, *[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")])
+            q, x = judged(sent.value, read, *[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(q), pa.array(x), pa.array((q >= 0.5) & (x < 0.5))], [*b.schema.names, "quality_score", "toxic_score", "keep"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType()), StructField("toxic_score", DoubleType()), StructField("keep", BooleanType())]))
@@ -339,8 +368,9 @@ def keep(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
     sent = spark.sparkContext.broadcast(heads)  # some hundred weights
 
     def run(batches):
+        read = Content(sent.value)
         for b in batches:
-            q, x = judged(sent.value, *[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")])
+            q, x = judged(sent.value, read, *[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")])
             yield b.filter(pa.array((q >= 0.5) & (x < 0.5)))
 
     return docs.mapInArrow(run, docs.schema)
