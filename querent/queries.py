@@ -15,7 +15,7 @@ from querent.operators import ann, evaluate, link, lookup, profile, sketch, vect
 from querent.plans import dialect, execute, lineage, repair, typed
 from querent.sources import catalog as cat
 from querent.session import scratch
-from querent.sources import files
+from querent.sources import files, sqlite
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -697,3 +697,13 @@ def resume_anti_join(spark: SparkSession, path: str) -> DataFrame:
     done = t(spark, path, "labels").withColumnRenamed("doc_id", "question_id")
     todo = t(spark, path, "documents").select(F.col("doc_id").alias("question_id"), "lang")
     return files.remaining(todo, done.filter("quality = 1"), done.filter("quality <> 1 or quality is null"))
+
+
+@query("SELECT l_linenumber::BIGINT AS l_linenumber, count(*)::BIGINT AS n, sum(l_quantity)::BIGINT AS quantity, min(l_orderkey)::BIGINT AS first_order, count(DISTINCT l_linestatus)::BIGINT AS statuses FROM lineitem WHERE l_quantity > 30 AND l_returnflag IN ('R', 'A') GROUP BY 1")
+def sqlite_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Lines written as SQLite files, a task each, and read back by ranges of rows with the filters in SQLite's statement."""
+    folder = f"{sqlite.local(scratch(spark))}/sqlite-{uuid.uuid4().hex}"
+    columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"]
+    sqlite.write(t(spark, path, "lineitem").select(columns), folder, "lineitem")
+    read = sqlite.table(spark, folder, "lineitem", columns).filter("l_quantity > 30 and l_returnflag in ('R', 'A')")
+    return read.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"), F.min("l_orderkey").alias("first_order"), F.countDistinct("l_linestatus").alias("statuses"))
