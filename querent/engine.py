@@ -23,6 +23,7 @@ from querent.sources.catalog import quote
 
 KEYS = ["table", "column"]
 Q = "question_id"
+RESULTS, ERRORS = "question_id long, sql string, method string, agreement int", "question_id long, error string"
 
 
 @dataclass
@@ -183,21 +184,31 @@ class Database:
                 c.outcome.rows.unpersist()
         return Answer(question_id, made[winner].sql if winner is not None else "", method, int(best.agreement), made)
 
-    def answer_all(self, questions: DataFrame, links: DataFrame, backend: Backend, out: str, retries: int = 3, profiles: DataFrame | None = None) -> None:
-        """Answers of all questions that ``out`` has neither a result nor an error of, saved one by one.
+    def answer_all(self, questions: DataFrame, links: DataFrame, backend: Backend, out: str, retries: int = 3, profiles: DataFrame | None = None, flush: int = 1) -> None:
+        """Answers of all questions that ``out`` has neither a result nor an error of, committed ``flush`` at a time.
+
+        Questions may bring ``evidence`` and ``examples``; both go into their prompts. After a crash the questions
+        of the batch that was open are asked again, and no other; ``files.committed`` reads what counts."""
+        kinds = {"results": RESULTS, "errors": ERRORS}
+        done = [files.committed(self.spark, out, n, k) for n, k in kinds.items()]
+        made: dict[str, list] = {n: [] for n in kinds}
+
+        def save() -> None:
+            files.commit_results(*(self.spark.createDataFrame(made[n], k) for n, k in kinds.items()), out)
+            for rows in made.values():
+                rows.clear()
 
-        Questions may bring ``evidence`` and ``examples``; both go into their prompts."""
-        done = [self.spark.read.json(f"{out}/{n}") if files.exists(self.spark, f"{out}/{n}") else self.spark.createDataFrame([], "question_id long") for n in ("results", "errors")]
-        done = [d if Q in d.columns else self.spark.createDataFrame([], "question_id long") for d in done]
-        kind = "question_id long, sql string, method string, agreement int"
         for q in files.remaining(questions, *done).orderBy(Q).toLocalIterator():
-            results, errors, said = [], [], q.asDict()
+            said = q.asDict()
             try:
                 a = self.answer(q[Q], q["question"], links.filter(F.col(Q) == q[Q]), backend, *(said.get(c) or "" for c in ("evidence", "examples")), retries=retries, profiles=profiles)
-                results.append((a.question_id, a.sql, a.method, a.agreement))
+                made["results"].append((a.question_id, a.sql, a.method, a.agreement))
             except Exception as e:  # noqa: BLE001  one question's failure is recorded, the others go on
-                errors.append((q[Q], str(e)))
-            files.save_results(self.spark.createDataFrame(results, kind), self.spark.createDataFrame(errors, "question_id long, error string"), out)
+                made["errors"].append((q[Q], str(e)))
+            if sum(map(len, made.values())) >= flush:
+                save()
+        if any(made.values()):
+            save()
 
     def score(self, answers: list[Answer], gold: dict[int, str]) -> DataFrame:
         """``question_id, gold_ok, voted_correct, any_correct`` for the accuracy aggregates."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -121,6 +123,34 @@ def save_results(results: DataFrame, errors: DataFrame, path: str, metadata: dic
         results.sparkSession.createDataFrame([(metadata,)], "metadata map<string,string>").write.mode("overwrite").json(f"{path}/metadata")
 
 
+def commit_results(results: DataFrame, errors: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Append a batch of results and errors, which count together from the moment that its marker is there.
+
+    A batch whose marker exists is left alone (false), one that was broken off is written anew; so a retry
+    adds nothing twice, and a crash between results and errors adds nothing. A batch has one writer at a time."""
+    spark, batch = results.sparkSession, batch or uuid.uuid4().hex
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/{batch}")
+    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(marker):
+        return False
+    for name, rows in (("results", results), ("errors", errors)):
+        rows.write.mode("overwrite").json(f"{path}/{name}/commit={batch}")
+    return fs.createNewFile(marker)
+
+
+def commits(spark: SparkSession, path: str) -> list[str]:
+    """Batches that count; as many as there were appends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def committed(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """``results`` or ``errors`` of all batches that count; none is an empty table."""
+    folders = [f"{path}/{name}/commit={b}" for b in commits(spark, path)]
+    return spark.read.schema(schema).json(folders) if folders else spark.createDataFrame([], schema)
+
+
 def cached_vectors(texts: DataFrame, path: str, embed) -> DataFrame:
     """``text_key, vector`` of texts, kept by content: only texts that the folder lacks are embedded."""
     spark = texts.sparkSession

@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from querent.engine import Database
+from querent.engine import ERRORS, RESULTS, Database
 from querent.operators import evaluate
 from querent.operators.backend import Scripted
-from querent.sources import catalog
+from querent.sources import catalog, files
 
 NAMES = ["customer", "nation", "orders"]
 
@@ -75,6 +75,41 @@ def test_answers_resume(spark, db, tmp_path):
     assert sorted(r.question_id for r in spark.read.json(f"{out}/results").collect()) == [1, 2]
 
 
+def test_batches_count_whole_or_not_at_all(spark, db, tmp_path):
+    out = str(tmp_path / "answers")
+    links = spark.createDataFrame([(i, "nation", "n_name") for i in range(1, 6)], "question_id long, table string, column string")
+    q = spark.createDataFrame([(i, f"ask#{i}") for i in range(1, 6)], "question_id long, question string")
+    asked: list[int] = []
+
+    class Breaks(Scripted):
+        """Ends the process, as it were, at one question."""
+
+        def generate(self, messages, **settings):
+            n = int(str(messages).split("ask#")[1][0])
+            asked.append(n)
+            if n == self.stop:
+                raise KeyboardInterrupt
+            return super().generate(messages, **settings)
+
+    b = Breaks(["SELECT 1"])
+    b.stop = 4
+    with pytest.raises(KeyboardInterrupt):
+        db.answer_all(q, links, b, out, flush=2)
+    held = lambda n, k: sorted(r.question_id for r in files.committed(spark, out, n, k).collect())
+    assert (held("results", RESULTS), held("errors", ERRORS)) == ([1, 2], [])  # question 3 was open
+    # a batch whose results were written, but neither its errors nor its marker
+    spark.createDataFrame([(3, "half", "none", 0)], RESULTS).write.json(f"{out}/results/commit=half")
+    b.stop = 0
+    asked.clear()
+    db.answer_all(q, links, b, out, flush=2)
+    assert set(asked) == {3, 4, 5}
+    assert (held("results", RESULTS), held("errors", ERRORS)) == ([1, 2, 3, 4, 5], [])
+    none = spark.createDataFrame([(7, "no answer")], ERRORS)
+    again = spark.createDataFrame([(6, "SELECT 6", "majority", 2)], RESULTS)
+    assert files.commit_results(again, none, out, "half") and not files.commit_results(again, none, out, "half")
+    assert (held("results", RESULTS), held("errors", ERRORS)) == ([1, 2, 3, 4, 5, 6], [7])
+
+
 def test_links_of_statements(spark, db):
     s = spark.createDataFrame([(1, "SELECT c_name || c_mktsegment FROM customer"), (1, "SELECT c_name FROM customer"), (2, "nonsense n_name FROM nation")], "question_id long, sql string")
     assert {tuple(r) for r in db.schema_links(s).collect()} == {(1, "customer", "c_name"), (1, "customer", "c_mktsegment"), (2, "nation", "n_name")}
