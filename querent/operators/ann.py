@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from querent.operators.vector import Nearest, matrix
 from querent.session import ship
 
 #: Rows that centres are fitted on, at most.
@@ -29,24 +30,13 @@ SAMPLE = 20_000
 BLOCK = 10_000
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Vectors of unit length, zeros for nulls."""
-    lists = column.to_pylist()
-    out = np.zeros((len(lists), dims))
-    for i, v in enumerate(lists):
-        if v is not None:
-            out[i] = v
-    length = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
-
-
 def fit(rows: DataFrame, cells: int, seed: int = 1, rounds: int = 12) -> np.ndarray:
     """Unit centres of at most ``cells`` cells, by spherical k-means over a bounded sample of ``row_id, vector``."""
     some = rows.filter("vector is not null").orderBy(F.xxhash64(F.lit(seed), "row_id"), "row_id").limit(SAMPLE)
     held = some.select(F.col("vector").cast("array<double>")).toArrow().column(0).combine_chunks()
     if not len(held):
         return np.zeros((1, 0))
-    x = _matrix(held, len(held[0].as_py()))
+    x = matrix(held, len(held[0].as_py()))
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
@@ -63,7 +53,7 @@ def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = (_matrix(b.column(1), centres.shape[1]) @ centres.T).argmax(axis=1)
+            near = (matrix(b.column(1), centres.shape[1]) @ centres.T).argmax(axis=1)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype(np.int32))], ["row_id", "vector", "cell"])
 
     kind = dict(rows.dtypes)["row_id"]
@@ -114,13 +104,13 @@ def _block(queries: DataFrame, path: str, centres: np.ndarray, k: int, probes: i
     table = spark.read.parquet(f"{path}/cells")
     kinds = {"q": dict(queries.dtypes)["query_id"], "r": dict(table.dtypes)["row_id"]}
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow()
-    ids, q = asked.column(0).to_pylist(), _matrix(asked.column(1).combine_chunks(), centres.shape[1])
+    ids, q = asked.column(0).combine_chunks(), matrix(asked.column(1), centres.shape[1])
     near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
     probing = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
     sent = spark.sparkContext.broadcast((ids, q, probing))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "row_id")
-    rows = table.filter(F.col("cell").isin(sorted(probing))).select("row_id", "vector", "cell").mapInArrow(_scored(sent, k, kinds), f"query_id {kinds['q']}, row_id {kinds['r']}, cell int, score double")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "row_id")
+    rows = table.filter(F.col("cell").isin(sorted(probing))).select("row_id", "vector", "cell").mapInArrow(_scored(sent, k), f"query_id {kinds['q']}, row_id {kinds['r']}, cell int, score double, near double")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("near")
 
 
 def probes_for(spark: SparkSession, path: str, target: float = 0.95, k: int = 10, sample: int = 200, seed: int = 2) -> int:
@@ -133,33 +123,26 @@ def probes_for(spark: SparkSession, path: str, target: float = 0.95, k: int = 10
     asked = some.select(F.col("row_id").alias("query_id"), "vector").toArrow()
     queries = spark.createDataFrame(asked)
     met = _block(queries, path, centres, k + 1, len(centres)).filter("query_id <> row_id").select("query_id", "cell").collect()  # sample x k rows
-    own = dict(zip(asked.column(0).to_pylist(), np.argsort(-(_matrix(asked.column(1).combine_chunks(), centres.shape[1]) @ centres.T), axis=1, kind="stable"), strict=True))
+    own = dict(zip(asked.column(0).to_pylist(), np.argsort(-(matrix(asked.column(1).combine_chunks(), centres.shape[1]) @ centres.T), axis=1, kind="stable"), strict=True))
     places = np.sort([int(np.flatnonzero(own[r.query_id] == r.cell)[0]) for r in met])
     return int(places[min(len(places) - 1, int(np.ceil(target * len(places))) - 1)]) + 1 if len(places) else 1
 
 
-def _scored(sent, k: int, kinds: dict[str, str]):
+def _scored(sent, k: int):
     """A task that keeps the k best rows of each query that it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, probing = sent.value
-        best: dict[int, list[tuple[float, object]]] = {}
+        best = None
         for b in batches:
-            cells, rows = np.asarray(b.column(2)), b.column(0).to_pylist()
-            x = _matrix(b.column(1), q.shape[1])
+            best = best or Nearest(q, k, b.column(0).type)
+            cells, x = np.asarray(b.column(2)), matrix(b.column(1), q.shape[1])
             for c in np.unique(cells).tolist():
                 at = np.flatnonzero(cells == c)
-                scores = x[at] @ q[probing[c]].T
-                for j, i in enumerate(probing[c].tolist()):
-                    # all rows as good as the k-th, since ties go by row_id
-                    own = np.round(scores[:, j], 9)
-                    line = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -2.0
-                    held = best.get(i, []) + [(-float(own[r]), rows[at[r]], c) for r in np.flatnonzero(own >= line).tolist()]
-                    best[i] = sorted(held)[:k]
-        flat = [(ids[i], r, c, -s) for i, held in best.items() for s, r, c in held]
-        types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        cells = [pa.array([f[0] for f in flat], types[kinds["q"]]), pa.array([f[1] for f in flat], types[kinds["r"]]), pa.array([f[2] for f in flat], pa.int32()), pa.array([f[3] for f in flat], pa.float64())]
-        yield pa.record_batch(cells, ["query_id", "row_id", "cell", "score"])
+                best.show(x[at], b.column(0).take(pa.array(at)), probing[c], c)
+        if best is not None:
+            of, score, cell, rows, near = best.found()
+            yield pa.record_batch([ids.take(pa.array(of)), rows, pa.array(cell), pa.array(score), pa.array(near)], ["query_id", "row_id", "cell", "score", "near"])
 
     return run
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +62,16 @@ def test_blocks_of_queries_and_appended_rows(spark, made, tmp_path, monkeypatch)
     monkeypatch.setattr(ann, "BLOCK", 7)
     assert sorted(tuple(r) for r in ann.search(q, path, 5, 8).select("query_id", "rank", "row_id").collect()) == whole
     assert len(whole) == 100 and any(r[2] >= 1000 for r in whole)
+
+
+def test_a_batch_is_scored_in_bounded_memory():
+    rng = np.random.default_rng(0)
+    x, q = rng.normal(size=(16000, 8)), rng.normal(size=(6000, 8))
+    batch = pa.record_batch([pa.array(range(16000), pa.int64()), pa.array(x.tolist()), pa.array([0] * 16000, pa.int32())], ["row_id", "vector", "cell"])
+    sent = SimpleNamespace(value=(pa.array(range(6000), pa.int64()), q / np.linalg.norm(q, axis=1, keepdims=True), {0: np.arange(6000)}))
+    tracemalloc.start()
+    found = list(ann._scored(sent, 3)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 18_000
+    assert peak < 200 << 20  # all scores at once are 768 MB
