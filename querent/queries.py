@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions import render, text
-from querent.functions.shingles import jaccard, kshingles, signatures
-from querent.operators import ann, evaluate, link, lookup, profile, sketch, vector, vote
+from querent.functions.shingles import kshingles, signatures
+from querent.operators import ann, evaluate, link, lookup, profile, similar, sketch, vector, vote
 from querent.plans import dialect, execute, lineage, repair, typed
 from querent.sources import catalog as cat
 from querent.session import scratch
@@ -299,9 +299,8 @@ def kshingle_rows(spark: SparkSession, path: str) -> DataFrame:
 @query("""WITH s AS (SELECT s_suppkey, s_nationkey, list_distinct(list_transform(range(1, length(s_name) - 1), lambda i: substring(s_name, i::INTEGER, 3))) AS g FROM supplier)
 SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")
 def shingle_jaccard(spark: SparkSession, path: str) -> DataFrame:
-    s = t(spark, path, "supplier").select("s_nationkey", F.col("s_suppkey").alias("a"), kshingles(F.col("s_name")).alias("ga"))
-    other = s.select("s_nationkey", F.col("a").alias("b"), F.col("ga").alias("gb"))
-    return s.join(other, "s_nationkey").filter("a < b").select("a", "b", F.round(jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"))
+    s = t(spark, path, "supplier").select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("key"), kshingles(F.col("s_name")).alias("shingles"))
+    return similar.all_pairs(s)
 
 
 @query(r"""SELECT event_id, array_to_string(list_concat(q, list_concat(u, n)), '|') AS literals FROM (SELECT event_id,

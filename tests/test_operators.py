@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from querent.functions import render
-from querent.operators import backend, correct, evaluate, link, lookup, profile, vector, vote
+from querent.operators import backend, correct, evaluate, link, lookup, profile, similar, vector, vote
 from querent.sources import catalog, files
 
 
@@ -69,6 +71,45 @@ def test_top_k_in_blocks_equals_broadcast(spark, own):
     assert "BuildRight" in plan and "Generate" not in plan
 
 
+@pytest.mark.parametrize("block", [10_000, 3])
+def test_top_k_compares_nine_digits_and_goes_by_id(spark, block):
+    q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(7)] + [(7, None)], "query_id int, vector array<double>")
+    r = spark.createDataFrame([(5, [1.0, 0.0]), (4, [1.0, 1e-5]), (3, [2.0, 1.0]), (2, None), (1, [0.0, 0.0])], "row_id int, vector array<double>")
+    got = {(x.query_id, x["rank"]): x.row_id for x in vector.top_k(q, r, 3, block=block).collect()}
+    assert [got[0, i] for i in (1, 2, 3)] == [got[6, i] for i in (1, 2, 3)] == [4, 5, 3]
+    assert [got[7, i] for i in (1, 2, 3)] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("sizes", [(2000, 1 << 22, 1 << 18), (7, 40, 11)])
+def test_all_pairs_in_blocks_equal_a_join(spark, monkeypatch, sizes):
+    for name, size in zip(("BLOCK", "CELLS", "PAIRS"), sizes, strict=True):
+        monkeypatch.setattr(similar, name, size)
+    texts = [(i % 3 or None, i if i % 10 else None, [f"s{(i * j) % 7}" for j in range(i % 5)] or None) for i in range(60)] + [(1, 4, ["x", "x", "s1"])]
+    df = spark.createDataFrame(texts, "group int, key long, shingles array<string>")
+    want = []
+    for g, a, x in texts:
+        for h, b, y in texts:
+            if g is not None and g == h and a is not None and b is not None and a < b:
+                x, y = set(x or []), set(y or [])
+                want.append((a, b, round(len(x & y) / len(x | y), 6) if x | y else 0.0))
+    got = similar.all_pairs(df)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_in_small_steps_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(vector.Nearest, "CELLS", 64)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (400, 3)).astype(float)
+    x = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=x.any(axis=1, keepdims=True))
+    best = vector.Nearest(x[:20], 7, pa.int64())
+    for low in range(0, 400, 90):
+        best.show(x[low : low + 90], pa.array(range(low, min(low + 90, 400))))
+    of, _, _, ids, _ = best.found()
+    want = [sorted(range(400), key=lambda r: (-np.round(x[r] @ x[i], 9), r))[:7] for i in range(20)]
+    assert [[r for o, r in zip(of.tolist(), ids.to_pylist(), strict=True) if o == i] for i in range(20)] == want
+
+
 def test_profile_shuffles_one_histogram(spark):
     df = spark.createDataFrame([(i, str(i % 3)) for i in range(20)], "k int, s string")
     both = profile.distinct_counts(df).join(profile.top_values(df, 2).groupBy("column").count(), "column")
