@@ -433,7 +433,7 @@ def literal_containment(spark: SparkSession, path: str) -> DataFrame:
     """Misspelt values of nine columns (the fourth letter gone, a letter more) against all text columns."""
     spoilt = F.concat(F.lower(F.substring("value", 1, 3)), F.substring(F.col("value"), F.lit(5), F.lit(1 << 30)), F.lit("q"))
     asked = text_values(spark, path, _ASKED).filter("value is not null").select(spoilt.alias("literal"))
-    return lookup.contained(asked, lookup.shingle_index(text_values(spark, path)))
+    return lookup.contained(asked, lookup.stored(lookup.shingle_index(text_values(spark, path))))
 
 
 @query("SELECT c_custkey AS query_id, c_mktsegment AS literal, 'customer' AS \"table\", 'c_mktsegment' AS \"column\" FROM customer WHERE c_nationkey >= 12")

@@ -281,6 +281,18 @@ def test_containment_equals_brute_force(spark):
     assert {(r.literal, r.column) for r in got.collect()} == want and len(want) > 100
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_shingle_index_makes_no_row_a_shingle(spark, k):
+    from querent.functions.shingles import kshingles
+
+    texts = ["añ🙂" * 400_000 + "end", " AbC ", "ab", "", None, "a\x00b\x00", "xyz", "abcd" * 9, "ABCD" * 9]
+    values = spark.createDataFrame([("t", f"c{i % 2}", x) for i, x in enumerate(texts)], "table string, column string, value string")
+    index = lookup.shingle_index(values, k)
+    want = values.select("table", "column", F.explode(kshingles(F.lower(F.trim("value")), k)).alias("shingle")).distinct()
+    assert rows(index, "table", "column", "shingle") == rows(want, "table", "column", "shingle")
+    assert "Generate" not in index._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_texts_have_all_shingles(spark):
     from querent.functions.shingles import kshingles
 
