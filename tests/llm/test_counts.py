@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from querent.llm import collocations, divergence, licenses, queries
 
@@ -128,6 +129,30 @@ def test_phrases_over_many_shards(spark, monkeypatch):
     assert got == {p: n for p, n in plain.items() if n >= 30}
 
 
+def test_ands_read_about_what_phrases_have(monkeypatch):
+    """Many pairs of common words, each pair rare: the blocks that ANDs read follow the pairs, not the words."""
+    rng = np.random.default_rng(6)
+    ids = rng.integers(0, 100, 30_000)
+    words = [f"w{i}".encode() for i in range(100)]
+    read, ranges = [], collocations._ranges
+    monkeypatch.setattr(collocations, "_ranges", lambda begin, end: read.append(int((end - begin).sum())) or ranges(begin, end))
+    every = np.full(collocations.BITS // 8, 255, np.uint8)
+    got = Counter()
+    for _, phrases, f in collocations._extended("en", words, ids, collocations._names("en", b"\n".join(words)), every, every, every):
+        got.update(dict(zip(phrases, f.tolist(), strict=True)))
+    plain = Counter(b" ".join(words[w] for w in ids[i : i + k]) for k in (2, 3, 4) for i in range(len(ids) - k + 1))
+    assert got == plain
+    assert sum(read) < 3 * sum(plain.values())
+
+
+def test_a_phrase_is_counted_once_a_range_of_shards(spark):
+    """Shards of a language lie together, so the rows of phrases don't grow with the shards."""
+    df = spark.createDataFrame([(i, "one two three four", x) for i in range(400) for x in ("de", "en", "es", "fr")], "doc_id long, text string, lang string").repartition(32)
+    shards = collocations.written(collocations.together(collocations.written(collocations.shards(df))))
+    ranges = shards.select("lang", F.input_file_name()).distinct().count()
+    assert shards.count() > 60 and ranges <= 3 * spark.sparkContext.defaultParallelism + 3
+
+
 def test_outstanding_keeps_ties(spark):
     """More equal differences than ranks at the threshold: the smallest terms stay."""
     text = " ".join(f"t{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120))
