@@ -21,6 +21,7 @@ extra columns stay, but for those named like the output.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections import Counter
@@ -215,6 +216,12 @@ class Head:
         z = says(self.views[v], v, rows)
         return sigmoid(z * self.lines[v][0] + self.lines[v][1])
 
+    def taught(self) -> Head:
+        """This head without the rows it learns from: what tasks need to say how sure it is."""
+        own = copy.copy(self)
+        del own.given, own.checks, own.last
+        return own
+
     def teach(self, v: str, rows: list[tuple], label: int) -> None:
         """Give a view what the other one is sure of."""
         old, y, weight = self.given[v]
@@ -267,7 +274,7 @@ def confident(docs: DataFrame, heads: list[Head], known: list[set[int]]) -> dict
     """For each head, view and side (4 head + 2 view + side) the texts (hash, an id) of the whole corpus
     of which it is most confident, without those ``known`` to the view that is to learn."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((heads, known))  # weights; hashes of texts in training, bounded by SAMPLE, ROUNDS and ADD
+    sent = spark.sparkContext.broadcast((tuple(h.taught() for h in heads), known))  # weights; hashes of texts in training, bounded by SAMPLE, ROUNDS and ADD
 
     def run(batches):
         own, known = sent.value

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
@@ -222,6 +223,15 @@ def test_rounds_take_the_most_confident_of_the_whole_corpus(spark, corpus, sf):
     assert any(got.values())
 
 
+def test_quality_sends_weights_and_no_texts(spark, sf, monkeypatch):
+    """Workers hold what is broadcast: not the words of all labelled documents."""
+    sent, kind = [], type(spark.sparkContext)
+    broadcast = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or broadcast(self, value))
+    quality.learn(*[spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")])
+    assert sent and max(sent) < 300_000, sent
+
+
 def test_quality_edges(spark):
     d = docs(spark, EDGE)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
