@@ -159,3 +159,26 @@ def test_outstanding_keeps_ties(spark):
     rows = [(i, text, "en", "s1") for i in range(40)] + [(100 + i, "other words", "en", "s2") for i in range(40)]
     got = divergence.audit(table(spark, rows)).filter("part = 'term' and source = 's1'").orderBy("rank").collect()
     assert [r.item for r in got] == sorted(text.split())[:50] and len({r.value for r in got}) == 1
+
+
+def test_phrases_of_some_first_words_at_a_time(monkeypatch):
+    """A task holds the bitmaps of a bounded number of places, whatever its shard has, and counts the same."""
+    rng = np.random.default_rng(5)
+    ids = np.r_[rng.integers(0, 40, 20_000), -1, rng.integers(0, 40, 20_000), -1].astype(np.int64)
+    words = [b"w%d" % i for i in range(40)]
+    names = collocations._names("en", b"\n".join(words))
+    every = np.full(collocations.BITS // 8, 255, np.uint8)
+    sizes, of = [], collocations.Bitmaps.of
+
+    def watched(owner, place, owners, blocks):
+        sizes.append(len(place))
+        return of(owner, place, owners, blocks)
+
+    monkeypatch.setattr(collocations.Bitmaps, "of", watched)
+    monkeypatch.setattr(collocations, "PLACES", 3000, raising=False)
+    found = {}
+    for _, phrases, f in collocations._extended("en", words, ids, names, every, every, every):
+        found |= dict(zip(phrases, f.tolist(), strict=True))
+    plain = Counter(b" ".join(words[w] for w in ids[i : i + k]) for k in (2, 3, 4) for i in range(len(ids) - k + 1) if (ids[i : i + k] >= 0).all())
+    assert found == plain
+    assert max(sizes) <= 3000
