@@ -42,6 +42,8 @@ THRESHOLD, ARC = 12, 9
 BITS, TABLES, TABLE_BITS = 128, 2, 45
 #: Hamming distance of matching descriptors; matching places that agree on a transform; corners needed; a place's side.
 NEAR, AGREE, LEAST, PLACE = 24, 8, 6, 6
+#: Matches of a pair up to which pairs are verified many at once.
+MATCHES = 128
 #: Images are in ``CELLS`` parts, or more of ``CELL`` images; pairs of two parts are verified together, packed by ``PAIRS``.
 CELLS, CELL, PAIRS = 3, 20_000, 200_000
 
@@ -226,6 +228,69 @@ def _unpack(points: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([p["x"] / 8, p["y"] / 8, p["s"] / 64, p["a"] * np.pi / 127], 1).astype(np.float32), np.frombuffer(codes, np.uint8).reshape(-1, BITS // 8)
 
 
+def _places(points: np.ndarray) -> np.ndarray:
+    """A number of the place of each key point."""
+    return points[:, :2] // PLACE @ (1, 10_000)
+
+
+def agreeing(x: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], first: list[bool]) -> np.ndarray:
+    """Whether ``consensus`` of an image and each of the others reaches ``AGREE``, for many at once; ``first``:
+    whether the image comes before the other. Pairs of over ``MATCHES`` matches go to ``consensus`` itself."""
+    points, codes = x
+    n = [len(c) for _, c in others]
+    starts, owner = np.cumsum([0, *n[:-1]]), np.repeat(np.arange(len(n)), n)
+    theirs, many = np.concatenate([p for p, _ in others]), np.concatenate([c for _, c in others])
+    distance = np.zeros((len(codes), len(many)), np.uint8)
+    for a, b in zip(*[np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint64).T) for c in (codes, many)], strict=True):
+        for k in range(0, len(a), 8):  # as much as a core's cache holds
+            distance[k : k + 8] += np.bitwise_count(a[k : k + 8, None] ^ b)
+    near = distance <= NEAR
+    at = _places(points)
+    hit = np.logical_or.reduceat(near, starts, axis=1).astype(np.float32)
+    may = ((np.unique(at)[:, None] == at).astype(np.float32) @ hit > 0).sum(0) >= AGREE  # matches at enough places, wherever
+    before = np.array(first)
+    i, j = np.divmod(np.flatnonzero(near & may[owner]), len(many))
+    o = owner[j]
+    least = np.where(before[o], np.minimum.reduceat(distance, starts, axis=1)[i, o], distance.min(0)[j])
+    own = distance[i, j] == least
+    i, j, o = i[own], j[own], o[own]
+    size = np.bincount(o, minlength=len(n))
+    out = np.zeros(len(n), bool)
+    for k in np.flatnonzero(size > MATCHES).tolist():
+        out[k] = (consensus(x, others[k]) if first[k] else consensus(others[k], x)) >= AGREE
+    use = np.flatnonzero(((size >= AGREE) & (size <= MATCHES))[o])
+    use = use[np.argsort(o[use], kind="stable")]
+    if not len(use):
+        return out
+    i, j, o = i[use], j[use], o[use]
+    swap = ~before[o, None]
+    mine, other = points[i], theirs[j]
+    small, large = np.where(swap, other, mine), np.where(swap, mine, other)
+    scale, turn = large[:, 2] / small[:, 2], large[:, 3] - small[:, 3]
+    c, s = scale * np.cos(turn), scale * np.sin(turn)
+    tx, ty = large[:, 0] - (c * small[:, 0] - s * small[:, 1]), large[:, 1] - (s * small[:, 0] + c * small[:, 1])
+    # every match proposes to all matches of its pair
+    many = size[o]
+    rep = np.repeat(np.arange(len(o)), many)
+    to = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many - np.searchsorted(o, o), many)
+    sx, sy, lx, ly = (np.ascontiguousarray(v)[to] for v in (small[:, 0], small[:, 1], large[:, 0], large[:, 1]))
+    cr, sr = c[rep], s[rep]
+    inside = np.flatnonzero((cr * sx - sr * sy + tx[rep] - lx) ** 2 + (sr * sx + cr * sy + ty[rep] - ly) ** 2 <= 9)
+    inside = inside[(np.bincount(rep[inside], minlength=len(o)) >= AGREE)[rep[inside]]]
+    rep, to = rep[inside], to[inside]
+    if not len(rep):
+        return out
+    begin = np.flatnonzero(np.r_[True, rep[1:] != rep[:-1]])
+    agreed = np.full(len(begin), len(at) + len(theirs))
+    for p in (small, large):  # distinct places of a proposal, as bits
+        places, which = np.unique(o * (1 << 40) + _places(p).astype(np.int64), return_inverse=True)
+        rank = (which - np.searchsorted(places, o * (1 << 40)))[to]
+        words = [np.where(rank // 64 == w, np.uint64(1) << (rank % 64).astype(np.uint64), np.uint64(0)) for w in range(rank.max() // 64 + 1)]
+        agreed = np.minimum(agreed, sum(np.bitwise_count(np.bitwise_or.reduceat(w, begin)).astype(int) for w in words))
+    out[o[rep[begin[agreed >= AGREE]]]] = True
+    return out
+
+
 def _part(v: np.ndarray, parts: int) -> np.ndarray:
     """Which of the parts of all images an image is in."""
     return ((v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
@@ -288,14 +353,6 @@ def copies(images: DataFrame) -> DataFrame:
                 own = np.unique(np.frombuffer(x, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), cell)), pa.array(own)], ["cell", "v"])
 
-    def maybe(codes: np.ndarray, others: list[int], own: dict) -> list[int]:
-        """Images of which enough descriptors have a match; most candidates that chance made end here."""
-        many = [np.frombuffer(own[b][1], np.uint64).reshape(-1, BITS // 64) for b in others]
-        starts = np.cumsum([0, *[len(m) for m in many[:-1]]])
-        distance = sum(np.bitwise_count(x[:, None] ^ y[None]) for x, y in zip(np.ascontiguousarray(codes).view(np.uint64).T, np.concatenate(many).T, strict=True))
-        hit = np.logical_or.reduceat(distance <= NEAR, starts, axis=1).sum(0) >= AGREE
-        return [b for b, h in zip(others, hit.tolist(), strict=True) if h]
-
     def verify(batches):
         def linked(pairs: list[bytes], own: dict):
             both = np.unique(np.frombuffer(b"".join(pairs), np.int64).reshape(-1, 2), axis=0)
@@ -312,12 +369,11 @@ def copies(images: DataFrame) -> DataFrame:
                 x = _unpack(*own[a])
                 for k in range(lo, hi, 64):
                     others = [b for b in both[k : min(hi, k + 64), 1].tolist() if top(a) != top(b)]  # the rest is linked already
-                    for b in maybe(x[1], others, own) if others else []:
-                        if top(a) != top(b):
-                            y = _unpack(*own[b])
-                            if (consensus(x, y) if a < b else consensus(y, x)) >= AGREE:
-                                to[top(a)] = top(b)
-                                tree.append((a, b))
+                    held = agreeing(x, [_unpack(*own[b]) for b in others], [a < b for b in others]).tolist() if others else []
+                    for b, agrees in zip(others, held, strict=True):
+                        if agrees and top(a) != top(b):
+                            to[top(a)] = top(b)
+                            tree.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in tree], pa.int64()) for k in range(2)], ["a", "b"])
 
         at, own, pairs = None, {}, []
@@ -339,8 +395,8 @@ def copies(images: DataFrame) -> DataFrame:
     release(spark)  # the tables' rows are read no more
     sides = pairs.mapInArrow(members, "cell long, v long").distinct().join(described.drop("pixels"), "v").select("cell", "v", "points", "codes", F.lit(None).cast("binary").alias("pairs"))
     lists = pairs.select("cell", F.lit(None).cast("long").alias("v"), F.lit(None).cast("binary").alias("points"), F.lit(None).cast("binary").alias("codes"), "pairs")
-        # a stated number of partitions, several a cell, since few bytes here are much work
-    links = sides.unionAll(lists).repartition(2 * cells * (cells + 1), "cell").sortWithinPartitions("cell", F.col("pairs").isNotNull()).mapInArrow(verify, "a long, b long")
+    # a stated number of ranges, several a cell: few bytes here are much work, and a hash would put some cells together
+    links = sides.unionAll(lists).repartitionByRange(2 * cells * (cells + 1), "cell").sortWithinPartitions("cell", F.col("pairs").isNotNull()).mapInArrow(verify, "a long, b long")
     roots = components(links)
     placed = described.select("pixels", "v", (F.length("codes") / (BITS // 8)).cast("long").alias("n_corners")).join(roots, F.col("v") == F.col("vertex"), "left")
     placed = cut(placed.select("pixels", "v", "n_corners", F.coalesce("root", "v").alias("root")))

@@ -734,3 +734,43 @@ def test_pipeline(spark, sf, corpus, encoder):
     want = {r.doc_id: encoder.encode_ordinary(r.text) for r in d.collect()}
     made = P.run(spark, sf).collect()
     assert {r.doc_id: r.ids for r in made} == want and all(r.round_trip for r in made)
+
+
+def test_a_task_gives_freed_memory_back():
+    """A worker lives on after its task: what the task has freed must not stay with it."""
+    import subprocess
+    import sys
+
+    code = """
+import pyarrow as pa
+from querent.llm.common import frugal
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+def run(batches):
+    many = [bytes(60_000) for _ in range(3000)]
+    pin = bytes(60_000)
+    del many
+    yield pin
+before = held()
+pins = list(frugal(run)([]))
+assert held() - before < 60_000_000, held() - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
+
+
+def test_many_pairs_are_verified_at_once_as_one_by_one():
+    """What is decided for a whole list of candidates is what consensus says of each, from either side."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6, 64))
+    vectors = [base[k % 6] + rng.standard_normal(64) * noise for k, noise in enumerate([0.0] * 6 + [0.15] * 12 + [0.4] * 12)]
+    made = [media.describe(media.render(v)) for v in vectors]
+    stripes = np.tile(np.repeat(np.array([40, 200], np.uint8), 6), 8)
+    made += [media.describe(np.bitwise_xor.outer(stripes, stripes).astype(np.uint8)) for _ in range(2)]  # matches beyond bound
+    made = [x for x in made if len(x[1]) >= media.LEAST]
+    said = 0
+    for a in range(len(made)):
+        others = [b for b in range(len(made)) if b != a]
+        got = media.agreeing(made[a], [made[b] for b in others], [a < b for b in others]).tolist()
+        plain = [(media.consensus(made[a], made[b]) if a < b else media.consensus(made[b], made[a])) >= media.AGREE for b in others]
+        assert got == plain
+        said += sum(plain)
+    assert 0 < said < len(made) * (len(made) - 1)
