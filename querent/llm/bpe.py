@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from querent.llm.common import ship, small_batches
+from querent.llm.common import frugal, ship, small_batches, trim
 
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 200_000
@@ -291,8 +291,10 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "text", ids:
                 if decoded:
                     cols.append(pa.array(c.decode(codes), pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, ids, *([decoded] if decoded else [])])
+                del part, codes, cols
+                trim()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -311,4 +313,4 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", decoded: st
             col = pa.array([None if p is None else d for p, d in zip(packed, done, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, decoded])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(decoded, BinaryType())]))
+    return df.mapInArrow(frugal(run), StructType([*df.schema.fields, StructField(decoded, BinaryType())]))

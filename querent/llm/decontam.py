@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import ship, small_batches
+from querent.llm.common import frugal, ship, small_batches
 from querent.llm.names import Lookup, words
 
 BLOCK, RANK, EXTRA = 16, 256, 8
@@ -149,7 +149,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([n, *df[used].tolist()], pa.int64())], ["term", "n"])
 
-    counts = {r.term: r.n for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.term: r.n for r in docs.select("text").mapInArrow(frugal(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return np.array([counts.get(i, 0) for i in range(len(vocabulary))]), counts.get(-1, 0)
 
 
@@ -188,7 +188,7 @@ def sketch(docs: DataFrame, vocabulary: np.ndarray, seed: int) -> tuple[np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([r.tobytes() for r in total.values()], pa.binary())], ["term", "z"])
 
     z = np.zeros((len(vocabulary), width))
-    made = docs.select("text").mapInArrow(run, "term int, z binary").repartition("term").mapInArrow(add, "term int, z binary")
+    made = docs.select("text").mapInArrow(frugal(run), "term int, z binary").repartition("term").mapInArrow(frugal(add), "term int, z binary")
     for r in made.toLocalIterator():  # a row a word of the benchmark
         z[r.term] = np.frombuffer(bytes(r.z))
     return gaussian(), z
@@ -338,7 +338,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, MATCH)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), MATCH)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -354,4 +354,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             dirty = {j for j, _ in find(b.column("text").to_pylist())}
             yield b.filter(pa.array([i not in dirty for i in range(b.num_rows)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

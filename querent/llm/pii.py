@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from querent.llm.common import ship, small_batches
+from querent.llm.common import frugal, ship, small_batches
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "secret"]
 BASE = KINDS[:4]
@@ -234,7 +234,7 @@ def learn(docs: DataFrame, column: str = "text") -> np.ndarray:
                     n.update("|".join(map(str, pattern(text, *s))) for s in [*base, *candidates(text, base)])
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["pattern", "n"])
 
-    rows = docs.select(column).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(column).mapInArrow(frugal(run), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     return train({(k, *map(int, rest)): r.n for r in rows for k, *rest in [r.pattern.split("|")]})
 
 
@@ -250,7 +250,7 @@ def detect(docs: DataFrame, weights: np.ndarray | None = None, column: str = "te
             found = [find_spans(t or "", weights) for t in b.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([joined(x) for x, _ in found], pa.string()), pa.array([joined(y) for _, y in found], pa.string())], [*b.schema.names, "base_spans", "all_spans"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("base_spans", StringType()), StructField("all_spans", StringType())]))
+    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields, StructField("base_spans", StringType()), StructField("all_spans", StringType())]))
 
 
 def redact(docs: DataFrame, weights: np.ndarray | None = None, column: str = "text") -> DataFrame:
@@ -276,7 +276,7 @@ def redact(docs: DataFrame, weights: np.ndarray | None = None, column: str = "te
             i = b.schema.get_field_index(column)
             yield b.set_column(i, b.schema.field(i), pa.array(map(clean, b.column(i).to_pylist()), pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def report(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
@@ -295,4 +295,4 @@ def report(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
                 schema.fieldNames(),
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)

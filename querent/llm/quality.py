@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from querent.llm.common import ship, small_batches
+from querent.llm.common import frugal, ship, small_batches
 
 #: Bound of the labelled sample.
 SAMPLE = 4000
@@ -263,7 +263,7 @@ def featured(rows: DataFrame) -> dict[int, tuple]:
             )
 
     out: dict[int, tuple] = {}
-    for r in rows.select("h", "doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, FEATURES).toLocalIterator():
+    for r in rows.select("h", "doc_id", "text", "source", "lang", "n_chars").mapInArrow(frugal(run), FEATURES).toLocalIterator():
         new = (np.array(r.dense), set(r.words), metadata(r.source, r.lang, r.n_chars), r.doc_id)
         if r.h not in out or (r.doc_id or 0) < (out[r.h][3] or 0):
             out[r.h] = new
@@ -298,7 +298,7 @@ def confident(docs: DataFrame, heads: list[Head], known: list[set[int]]) -> dict
         rows = [(k, h, c, -i) for k in best for h, (c, i) in sorted(best[k].items(), key=lambda x: (-x[1][0], x[0]))[:ADD]]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.int64()))], ["k", "h", "sure", "doc_id"])
 
-    found = docs.select("h", "doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, "k int, h long, sure double, doc_id long")
+    found = docs.select("h", "doc_id", "text", "source", "lang", "n_chars").mapInArrow(frugal(run), "k int, h long, sure double, doc_id long")
     one = found.groupBy("k", "h").agg(F.max("sure").alias("sure"), F.min("doc_id").alias("doc_id"))
     first = one.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("sure"), "h"))).filter(F.col("r") <= ADD)
     out: dict[int, list[tuple[int, int | None]]] = {k: [] for k in range(8)}
@@ -364,7 +364,7 @@ def score(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
             q, x = judged(sent.value, read, *[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(q), pa.array(x), pa.array((q >= 0.5) & (x < 0.5))], [*b.schema.names, "quality_score", "toxic_score", "keep"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType()), StructField("toxic_score", DoubleType()), StructField("keep", BooleanType())]))
+    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields, StructField("quality_score", DoubleType()), StructField("toxic_score", DoubleType()), StructField("keep", BooleanType())]))
 
 
 def keep(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
@@ -380,7 +380,7 @@ def keep(docs: DataFrame, heads: tuple[Head, Head]) -> DataFrame:
             q, x = judged(sent.value, read, *[b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")])
             yield b.filter(pa.array((q >= 0.5) & (x < 0.5)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import cut, ship, small_batches
+from querent.llm.common import cut, frugal, ship, small_batches
 from querent.llm.components import components
 
 SEED, BITS, TILE = 42, 64, 4096
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int, keep: tuple[str, ...] = ("doc_id
             fps = np.array([fingerprint(hashes(t, shingle)) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(fps.view(np.int64))], [*keep, "fp"])
 
-    return rows.mapInArrow(run, rows.drop("text").schema.add("fp", "long"))
+    return rows.mapInArrow(frugal(run), rows.drop("text").schema.add("fp", "long"))
 
 
 def plan_blocks(distance: int, n: int) -> list[int]:
@@ -130,7 +130,7 @@ def close_edges(points: DataFrame, distance: int) -> DataFrame:
             pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return dealt(keyed).mapInArrow(run, "a long, b long")
+    return dealt(keyed).mapInArrow(frugal(run), "a long, b long")
 
 
 def least_hashes(h: np.ndarray) -> tuple[bytes, list[int]]:
@@ -163,7 +163,7 @@ def shingle_sets(points: DataFrame, wanted: DataFrame, texts: DataFrame, shingle
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array([np.unique(hashes(t, shingle)).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["fp", "set"])
 
-    return found.mapInArrow(run, "fp long, set binary")
+    return found.mapInArrow(frugal(run), "fp long, set binary")
 
 
 def similar_edges(points: DataFrame, similarity: float, texts: DataFrame, shingle: int) -> DataFrame:
@@ -194,7 +194,7 @@ def similar_edges(points: DataFrame, similarity: float, texts: DataFrame, shingl
             pairs = fps[np.array(edges, np.int64).reshape(-1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return gathered.mapInArrow(run, "a long, b long")
+    return gathered.mapInArrow(frugal(run), "a long, b long")
 
 
 def dedup(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -219,7 +219,7 @@ def dedup(docs: DataFrame, shingle: int = 5, distance: int = 4, similarity: floa
             fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("d"), b.column("u"), pa.array(fps), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.list_(pa.int64()))], ["d", "u", "fp", "sig", "bands"])
 
-    marked = cut(docs.select(*key, "text").mapInArrow(run, "d long, u long, fp long, sig binary, bands array<long>"))
+    marked = cut(docs.select(*key, "text").mapInArrow(frugal(run), "d long, u long, fp long, sig binary, bands array<long>"))
     points = cut(marked.groupBy("fp").agg(F.min_by(F.struct("sig", "bands"), F.struct("d", "u")).alias("x"), F.min(F.struct("d", "u")).alias("first")).select("fp", "first", "x.sig", "x.bands"))
     roots = components(close_edges(points.select("fp"), distance).unionAll(similar_edges(points, similarity, docs.select(*key, "text"), shingle)))
     placed = points.join(roots, points.fp == roots.vertex, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
