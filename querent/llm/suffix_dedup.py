@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import cut, ship, small_batches
+from querent.llm.common import cut, release, ship, small_batches
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams in a window
@@ -220,6 +220,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, mixed: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``d, tag, u, begin, end``: ranges of window starts whose string starts earlier too."""
     ranked = cut(_ranked(_sparse(docs, mixed)))
+    release(docs.sparkSession)  # the rows of all runs are read no more
     names = _windows(docs, ranked.filter("kind > 0"), mixed)
     later = names.withColumn("r", F.rank().over(Window.partitionBy("name").orderBy("d", "pos", "tag", "u"))).filter("r > 1").select("d", "tag", "u", F.col("pos").alias("begin"), F.col("pos").alias("end"))
     back, size = F.shiftright("p", 25).bitwiseAND(F.lit(127)), F.shiftright("p", 18).bitwiseAND(F.lit(127))
@@ -243,6 +244,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     mixed = _mixed(docs)
     ranges = repeated(docs, mixed)
+    release(docs.sparkSession)  # nor are those of windows
     slots = cut(ranges.select(_slot()).distinct())
     keyed = _key(docs, mixed).withColumn("slot", _slot())
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")

@@ -7,13 +7,14 @@ import hashlib
 import pickle
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from querent.llm import bpe, chat, components, decontam, langid, media, pii, quality, sharding, simhash, suffix_dedup
+from querent.llm import bpe, chat, common, components, decontam, langid, media, pii, quality, sharding, simhash, suffix_dedup
 from querent.llm import queries as Q
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -171,6 +172,24 @@ def test_suffix_dedup_repeated_rows_and_empty_tables(spark):
     assert suffix_dedup.report(twice.limit(0)).count() == 0
 
 
+def test_suffix_dedup_keeps_no_shuffle_of_a_step_that_is_done(spark, monkeypatch):
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    common.release(spark)
+    time.sleep(1)
+    before, seen, windows = kept.size(), [], suffix_dedup._windows
+
+    def after_runs(*given):
+        time.sleep(1)
+        seen.append(kept.size() - before)
+        return windows(*given)
+
+    monkeypatch.setattr(suffix_dedup, "_windows", after_runs)
+    rows = suffix_dedup.report(docs(spark, [prose(1, 60), prose(1, 60), prose(2, 60)]))
+    time.sleep(1)
+    assert seen == [0] and kept.size() - before <= 1  # slots'
+    assert [x.n_removed > 0 for x in rows.orderBy("doc_id").collect()] == [False, True, False]
+
+
 @pytest.mark.parametrize("doc_id", [None, 7])
 def test_suffix_dedup_tells_texts_under_one_id_apart(spark, monkeypatch, doc_id):
     monkeypatch.setattr(suffix_dedup, "_TEXT_BITS", 1)  # tags clash as they do among many thousand texts
