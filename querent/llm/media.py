@@ -347,11 +347,11 @@ def copies(images: DataFrame) -> DataFrame:
         if parts:
             yield from packed(parts)
 
-    def members(batches):
+    def sent(batches):
         for batch in batches:
-            for cell, x in zip(batch.column("cell").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
-                own = np.unique(np.frombuffer(x, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), cell)), pa.array(own)], ["cell", "v"])
+            own = _part(batch.column("v").to_numpy(), cells)
+            for k in range(cells):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, k) * cells + np.maximum(own, k)), *batch.columns], ["cell", "v", "points", "codes"])
 
     def verify(batches):
         def linked(pairs: list[bytes], own: dict):
@@ -393,7 +393,9 @@ def copies(images: DataFrame) -> DataFrame:
     pairs = cut(met.mapInArrow(pair, "cell long, pairs binary"))
     del met, keyed, made
     release(spark)  # the tables' rows are read no more
-    sides = pairs.mapInArrow(members, "cell long, v long").distinct().join(described.drop("pixels"), "v").select("cell", "v", "points", "codes", F.lit(None).cast("binary").alias("pairs"))
+    # an image's descriptors once to each cell of its part, however many pairs it is in there; cells without pairs need none
+    spread = described.filter(F.length("codes") >= LEAST * BITS // 8).select("v", "points", "codes").mapInArrow(sent, "cell long, v long, points binary, codes binary")
+    sides = spread.join(F.broadcast(pairs.select("cell").distinct()), "cell", "left_semi").select("cell", "v", "points", "codes", F.lit(None).cast("binary").alias("pairs"))
     lists = pairs.select("cell", F.lit(None).cast("long").alias("v"), F.lit(None).cast("binary").alias("points"), F.lit(None).cast("binary").alias("codes"), "pairs")
     # a stated number of ranges, several a cell: few bytes here are much work, and a hash would put some cells together
     links = sides.unionAll(lists).repartitionByRange(2 * cells * (cells + 1), "cell").sortWithinPartitions("cell", F.col("pairs").isNotNull()).mapInArrow(verify, "a long, b long")

@@ -79,6 +79,27 @@ def test_consensus_in_a_crowded_bucket(spark):
     assert {x.class_id for x in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()} == {0}
 
 
+def test_media_sends_an_image_once_to_a_cell(spark, monkeypatch):
+    im = media.render(np.random.default_rng(9).standard_normal(64).tolist())
+    rows = []
+    for i in range(40):
+        x = im.copy()
+        x[i, :3] = i
+        rows.append((i, bytearray(media.encode(x))))
+    images = spark.createDataFrame(rows, "image_id long, image binary")
+    made, plain = [], type(images).mapInArrow
+
+    def noted(self, *given, **named):
+        made.append(plain(self, *given, **named))
+        return made[-1]
+
+    monkeypatch.setattr(type(images), "mapInArrow", noted)
+    monkeypatch.setattr(media, "PAIRS", 50)  # many packs of pairs name an image
+    assert {x.class_id for x in media.copies(images).collect()} == {0}
+    counts = [x.count() for x in made if {"cell", "v"} <= set(x.columns)]
+    assert counts and max(counts) <= 40 * media.CELLS, counts
+
+
 def classes_of(n, links):
     """Least member of each member's component."""
     lead = list(range(n))
